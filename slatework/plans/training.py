@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatework.functions import text
-from slatework.operators import proximity
-from slatework.session import table
+from slatework.operators import proximity, units
+from slatework.session import ship, table
 
 #: Metres within which two records are near each other.
 NEAR_M = 20.0
@@ -31,3 +31,36 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
 SQL: dict[str, str] = {}
+
+
+UNIT_COLUMNS = ["record_id", "source", "captured_at", "height", "height_text", "numstories", "stories_text"]
+
+
+def _common(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return units.common_units(table(spark, d, "building_metadata").select(*UNIT_COLUMNS), table(spark, d, "source_catalog"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values that were not yet in metres or storeys with the ground floor, as decimetres and storeys."""
+    c = _common(spark, d)
+    return c.select(
+        "record_id",
+        F.inline(
+            F.filter(
+                F.array(
+                    F.struct(F.lit("height").alias("field"), F.round(F.col("height_m") * 10).cast("long").alias("value_int"), F.col("height_changed").alias("changed")),
+                    F.struct(F.lit("numstories").alias("field"), F.round("stories_total").cast("long").alias("value_int"), F.col("stories_changed").alias("changed")),
+                ),
+                lambda x: x.changed,
+            )
+        ),
+    ).select("record_id", "field", "value_int")
+
+
+def p6_common(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its height in metres and its storeys, missing values null."""
+    return _common(spark, d).select("record_id", F.round("height_m", 3).alias("height_m"), "height_unit_used", F.round("stories_total", 3).alias("stories_total"), "stories_basis_used")
+
+
+QUERIES |= {"p6_found": p6_found, "p6_common": p6_common}
