@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.functions import text
-from slatework.operators import proximity, units
-from slatework.session import ship, table
+from slatework.functions import entries, text
+from slatework.operators import imputation, proximity, units
+from slatework.session import ship, table, written
 
 #: Metres within which two records are near each other.
 NEAR_M = 20.0
@@ -64,3 +64,62 @@ def p6_common(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_common": p6_common}
+
+
+#: The filled fields and the columns of the chain that stand for them.
+FILLED = {"height": "height_m", "numstories": "stories_total", "fpArea": "area", "roofshape": "shape"}
+
+
+def _plain_shape(c):
+    """A typed roof shape without case, blanks, punctuation and the words that only say it is a roof."""
+    plain = F.regexp_replace(F.lower(text.bare(c)), r"\(main\)|\broof\b:?|[-_ ]?style$|[._]+$", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"[_\s]+", " "), r"^ | $|[ _]?roof$", "")
+
+
+def p2_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its four fields filled, and per field how: null (recorded), ``building`` or ``model``.
+
+    Heights are in metres, storeys include the ground floor, recorded roof shapes
+    stay as typed. Copies of a record (same file name, case and end blanks aside)
+    donate first; what they can't tell is drawn from the chained equations on
+    city, class and time of capture.
+    """
+    ship(spark)
+    b = table(spark, d, "building_metadata").select(*UNIT_COLUMNS, "filename", "city", "material_class", "fpArea", "roofshape")
+    c = units.common_units(b, table(spark, d, "source_catalog"))
+    shapes = table(spark, d, "roofshape_list")
+    names = [(r["roofshape"], [r["roofshape"], *(r["also_called"] or "").split(",")]) for r in shapes.select("roofshape", "also_called").limit(1000).collect()]  # a list of shapes, bounded here
+    known = [x for name, called in names for call in called if call.strip() for x in (F.lit(call.strip().lower()), F.lit(name))]
+    shape = F.try_element_at(F.create_map(*known), _plain_shape(F.col("roofshape"))) if known else F.lit(None).cast("string")
+    c = c.select(
+        "record_id", "captured_at", "filename", F.lower(text.bare(F.col("filename"))).alias("building"),
+        F.when(~text.is_blank(F.col("city")), F.lower(text.bare(F.col("city")))).alias("place"), F.col("material_class").alias("material"),
+        "height_m", "stories_total", F.when(~entries.missing_number(F.col("fpArea")), F.col("fpArea")).alias("area"), shape.alias("shape"), F.col("roofshape").alias("typed_shape"),
+        F.col("height_missing").alias("height_gap"), F.col("stories_missing").alias("numstories_gap"), entries.missing_number(F.col("fpArea")).alias("fpArea_gap"), entries.says_nothing(F.col("roofshape")).alias("roofshape_gap"),
+    )
+    c = written(c, "impute-read")
+    donors = imputation.donated(c.where("length(building) > 0"), "building", list(FILLED.values()), ["captured_at", "record_id"])
+    gaps = c.where(" or ".join(f"{f}_gap" for f in FILLED))
+    whole = c.where(" and ".join(f"not {f}_gap" for f in FILLED)).select("*", *[F.lit(None).cast(t).alias(f"d_{v}") for v, t in zip(FILLED.values(), ("double", "double", "double", "string"), strict=True)])
+    c = gaps.join(donors, "building", "left").select(*whole.columns).unionByName(whole)
+    for f, v in FILLED.items():
+        told = F.col(f"{f}_gap") & F.col(f"d_{v}").isNotNull()
+        c = c.withColumn(f"{f}_told", told).withColumn(v, F.when(told, F.col(f"d_{v}")).otherwise(F.col(v)))
+    plan = imputation.Plan(("height_m", "stories_total", "area"), "shape", tuple(n for n, _ in names), ("material", "place"))
+    keep = ("typed_shape", *[f"{f}_{x}" for f in FILLED for x in ("gap", "told")])
+    out = imputation.chained(c, plan, "record_id", "captured_at", keep)
+    how = lambda f: F.when(F.col(f"{f}_told"), "building").when(F.col(f"{f}_gap"), "model").alias(f"{f}_how")
+    return out.select(
+        F.col("id").alias("record_id"), F.round("height_m", 2).alias("height"), how("height"), F.greatest(F.lit(1.0), F.round(F.col("stories_total") * 2) / 2).alias("numstories"), how("numstories"),
+        F.round("area", 2).alias("fpArea"), how("fpArea"), F.when(F.col("roofshape_gap"), F.col("shape")).otherwise(F.col("typed_shape")).alias("roofshape"), how("roofshape"),
+    )
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The values that were missing, as the filling operator marked them."""
+    out = p2_filled(spark, d)
+    marks = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_how").alias("how"), F.col(f).cast("string").alias("value")) for f in FILLED])
+    return out.select("record_id", F.explode(F.filter(marks, lambda m: m.how.isNotNull() & (m.value.isNotNull() | (m.how == "model")))).alias("m")).select("record_id", "m.field")
+
+
+QUERIES |= {"p2_found": p2_found, "p2_filled": p2_filled}
