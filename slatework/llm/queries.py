@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatework.llm import bpe, mixing, pieces
-from slatework.session import table
+from slatework.functions import text
+from slatework.llm import bpe, canonical, lookalike, mixing, overlap, pieces, splits
+from slatework.operators import proximity
+from slatework.session import table, written
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -45,5 +47,110 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, True)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+def _typed_cities(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "building_metadata").select(F.col("record_id").alias("id"), F.col("city").alias("value"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    return canonical.cities(b, table(spark, d, "city_reference"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Typed cities and roof shapes that are no canonical entry, with the entry meant or -1."""
+    shapes = table(spark, d, "building_metadata").select(F.col("record_id").alias("id"), F.col("roofshape").alias("value"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    listed = table(spark, d, "city_allow_list").select(F.col("entry_id").alias("id"), F.col("City").alias("value"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    parts = [
+        ("city", _typed_cities(spark, d)),
+        ("roofshape", canonical.roofshapes(shapes, table(spark, d, "roofshape_list"))),
+        ("allow_list_city", canonical.cities(listed, table(spark, d, "city_reference"))),
+    ]
+    out = None
+    for field, m in parts:
+        one = m.where("not exact").select(F.lit(field).alias("field"), F.col("id").alias("row_id"), "ref_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Report of the typed values that mean no entry: how many rows hold each field's unmatched values."""
+    return p3_found(spark, d).where("ref_id = -1").groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _split(c):
+    s = F.lower(text.bare(c))
+    return F.when(s.isin("train", "val", "holdout"), s)
+
+
+#: Metres within which two records show the same building.
+SAME_M = 3.0
+#: Length of the shingles of file names: long enough to be rare among numbered files.
+NAME_SHINGLE = 8
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """(id_e, id_t) pairs of an evaluation and a training record that show the same building."""
+    b = table(spark, d, "building_metadata").select("record_id", "filename", "latitude", "longitude", _split(F.col("split")).alias("part")).where("part is not null")
+    training, evaluation = b.where("part = 'train'"), b.where("part <> 'train'")
+    names = written(lookalike.one_form(b, "filename", "image", keep=("record_id", "part")), "overlap-names").where("form <> ''")
+    named = [names.where(cond).select(F.col("record_id").alias("id"), F.col("form").alias("text")) for cond in ("part <> 'train'", "part = 'train'")]
+    by_name = overlap.cross_pairs(*named, lambda t: overlap.char_shingles(t, NAME_SHINGLE), 1.0, same_text=True)
+    at = [proximity.located(x, "record_id", "latitude", "longitude") for x in (evaluation, training)]
+    by_place = proximity.near_pairs(*at, SAME_M).select(F.col("id_a").alias("id_e"), F.col("id_b").alias("id_t"))
+    return by_name.union(by_place).distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a training and a val or holdout record of the same building."""
+    return _overlaps(spark, d).select(F.least("id_e", "id_t").alias("record_a"), F.greatest("id_e", "id_t").alias("record_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and source: records, records that also stand in train, and pairs."""
+    b = table(spark, d, "building_metadata").select(F.col("record_id").alias("id_e"), "source", _split(F.col("split")).alias("split")).where("split in ('val', 'holdout')")
+    hits = _overlaps(spark, d).groupBy("id_e").agg(F.count(F.lit(1)).alias("n"))
+    return b.join(hits, "id_e", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose file name only looks like a registered one, with the registered spelling."""
+    found = lookalike.registered_spelling(table(spark, d, "building_metadata"), "record_id", "filename", table(spark, d, "building_coordinates"), "filename")
+    return found.select(F.col("id").alias("record_id"), F.col("registered").alias("filename"))
+
+
+def p5_form(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's file name in the one form."""
+    return lookalike.one_form(table(spark, d, "building_metadata"), "filename", keep=("record_id",))
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, city_id, split now, component, new split) of every record."""
+    b = table(spark, d, "building_metadata").select("record_id", _split(F.col("split")).alias("split_now"))
+    city = _typed_cities(spark, d).where("ref_id >= 0").select(F.col("id").alias("record_id"), F.col("ref_id").alias("city_id"))
+    rows = written(b.join(city, "record_id", "left"), "splits-cities")
+    shares = [(r["split"], r["share"]) for r in table(spark, d, "split_targets").where("split is not null and share > 0").limit(1000).collect()]  # one row per split
+    new = splits.grouped_splits(rows, "record_id", ["city_id"], shares)
+    return rows.join(new.withColumnRenamed("id", "record_id"), "record_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Cities whose records now stand in more than one split: components that the new splits bring together."""
+    g = _grouped(spark, d).where("city_id is not null and split_now is not null").groupBy("component", "city_id").agg(F.countDistinct("split_now").alias("n"))
+    return g.where("n > 1").select("city_id")
+
+
+def p7_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its component and new split."""
+    return _grouped(spark, d).select("record_id", "city_id", "component", "split")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Records and share of every split, against its target."""
+    n = _grouped(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("records"))
+    t = table(spark, d, "split_targets").join(n, "split", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    total = F.sum("records").over(Window.partitionBy(F.lit(1)))  # over a row per split
+    return t.select("split", F.col("share").alias("target_share"), "records", F.try_divide("records", total).alias("reached_share"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_form": p5_form,
+    "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_pieces": p10_pieces,
+}
 SQL: dict[str, str] = {}
