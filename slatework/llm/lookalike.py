@@ -82,8 +82,7 @@ def one_form(df: DataFrame, text_col: str, kind: str = "text", keep: tuple[str,
         con.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = true")
         for b in batches:
             con.register("batch", pa.table({"form": b.column(b.num_columns - 1)}))
-            made = con.execute(sql).arrow()
-            made = (made if isinstance(made, pa.Table) else made.read_all()).column("form").combine_chunks().cast(pa.string())
+            made = con.sql(sql).to_arrow_table().column("form").combine_chunks().cast(pa.string())
             con.unregister("batch")
             made = made if isinstance(made, pa.Array) else made.chunk(0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), made], names=names)
