@@ -86,5 +86,7 @@ def tiered_match(wanted: DataFrame, library: DataFrame) -> DataFrame:
     )
     away = F.when(F.col("tier") == 2, gap).when(F.col("tier").isin(3, 5), F.when(exact, 0).otherwise(1)).otherwise(0)
     best = c.withColumn("tier", tier).withColumn("distance", away).groupBy("mat", "llrs", "duct", "height").agg(F.min(F.struct("tier", "distance", "name")).alias("_b"))
-    on = [wanted[k].eqNullSafe(best[k]) for k in ("mat", "llrs", "duct", "height")]
-    return wanted.join(best, on[0] & on[1] & on[2] & on[3], "left").select(*[wanted[k] for k in wanted.columns], F.col("_b.name").alias("name"), F.col("_b.tier").alias("tier"), F.col("_b.distance").alias("distance"))
+    keys = ("mat", "llrs", "duct", "height")
+    best = best.select(*[F.col(k).alias(f"_{k}") for k in keys], "_b")
+    out = wanted.join(best, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return out.select(*wanted.columns, F.col("_b.name").alias("name"), F.col("_b.tier").alias("tier"), F.col("_b.distance").alias("distance"))
