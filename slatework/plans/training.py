@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slatework.functions import entries, text
 from slatework.operators import imputation, proximity, units
+from slatework.plans.training_sql import SQL  # noqa: F401
 from slatework.session import ship, table, written
 
 #: Metres within which two records are near each other.
@@ -30,7 +31,6 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
-SQL: dict[str, str] = {}
 
 
 UNIT_COLUMNS = ["record_id", "source", "captured_at", "height", "height_text", "numstories", "stories_text"]
