@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slatework.functions import text
 from slatework.llm import bpe, canonical, lookalike, mixing, overlap, pieces, splits
+from slatework.llm.queries_sql import SQL  # noqa: F401
 from slatework.operators import proximity
 from slatework.session import table, written
 
@@ -153,4 +154,3 @@ QUERIES = {
     "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
-SQL: dict[str, str] = {}
