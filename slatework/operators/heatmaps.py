@@ -85,7 +85,7 @@ def _half(m: DataFrame, keys: list[str], kind: str, target: float) -> DataFrame:
     b = m.groupBy(*keys, F.col(kind).alias("k")).agg(F.sum("a").alias("a"))
     w = Window.partitionBy(*keys)
     b = b.withColumn("run", F.sum("a").over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("a").over(w))
-    hit = F.min(F.when(F.col("run") / F.col("all") >= target - 1e-12, F.col("k")))
+    hit = F.min(F.when(F.try_divide("run", "all") >= target - 1e-12, F.col("k")))
     return b.groupBy(*keys).agg(F.when(F.max("all") <= EPS, 0.0).otherwise(F.coalesce(F.least(hit / float(STEPS), F.lit(1.0)), F.lit(1.0))).alias(name))
 
 

@@ -141,7 +141,7 @@ def _sums(df: DataFrame, plan: Plan, models: Models, target: str) -> np.ndarray:
 
 
 def _fit_numeric(s: np.ndarray):
-    if s.size == 0:
+    if s.size == 0 or s[0, 0] <= 0:  # no row records the field
         return None
     a, b, yy, n = s[:-1, :-1], s[:-1, -1], s[-1, -1], max(s[0, 0], 1.0)
     beta = np.linalg.solve(a + RIDGE * n * np.diag(np.where(np.arange(len(a)) == 0, 1e-9, np.maximum(np.diag(a) / n, 1e-6))), b)
@@ -151,7 +151,7 @@ def _fit_numeric(s: np.ndarray):
 
 def _fit_classes(s: np.ndarray, classes: int):
     """Linear discriminant: class means and the pooled covariance, from the cross products."""
-    if s.size == 0:
+    if s.size == 0 or s[0, 0] <= 0:  # no row records the field
         return None
     p = len(s) - classes
     counts = np.diag(s[p:, p:]).copy()

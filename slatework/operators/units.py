@@ -26,7 +26,8 @@ LEAST_ROWS = 30
 OFF_LOG = 0.594
 #: Factors that a level shift may stand for; a yard is too close to a metre to be told from it by level.
 LEVEL_UNITS = ("m", "ft", "cm", "mm")
-_FAR_PAST, _FAR_FUTURE = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
+INPUTS = ["source", "captured_at", "height", "height_text", "numstories", "stories_text"]
+RESULTS = ["height_m", "height_unit_used", "height_changed", "stories_total", "stories_basis_used", "stories_changed", "height_missing", "stories_missing"]
 
 
 def changepoints(n: np.ndarray, mean: np.ndarray, square: np.ndarray, penalty: float) -> list[int]:
@@ -163,9 +164,11 @@ def common_units(df: DataFrame, catalogue: DataFrame, penalty: float = PENALTY)
     the first of cm, mm that makes it possible; if none does it stays as it is.
     Rows with a null or unknown source count as metres and storeys. Needs the
     columns source, captured_at, height, height_text, numstories, stories_text;
-    other columns pass through. Repeated rows stay repeated.
+    other columns pass through, but for those with the name of
+    a result, which is put in their place. Repeated rows stay repeated.
     """
-    kept = df.columns
+    kept = F.struct(*[c for c in df.columns if c not in RESULTS], F.lit(None).cast("int").alias("_none"))
+    df = df.select(*[F.col(c) for c in INPUTS], kept.alias("_kept"))
     d = with_catalogue(df, catalogue).withColumn("_own", entries.height_unit(F.col("height_text"))).withColumn("_form", entries.stories_form(F.col("stories_text")))
     no_height, no_stories = entries.missing_number(F.col("height")), stories_missing()
     day = F.datediff("captured_at", F.lit("1970-01-01")).cast("int")
@@ -200,8 +203,8 @@ def common_units(df: DataFrame, catalogue: DataFrame, penalty: float = PENALTY)
     )
     d = d.withColumn("_b", basis)
     return d.select(
-        *[F.col(c) for c in kept],
+        "_kept.*",
         F.when(~no_height, metres).alias("height_m"), F.when(~no_height, unit).alias("height_unit_used"), (~no_height & (unit != "m")).alias("height_changed"),
         F.when(~no_stories, total).alias("stories_total"), F.when(~no_stories, F.col("_b")).alias("stories_basis_used"), (~no_stories & F.col("_b").isin("above", "tenths", "metres")).alias("stories_changed"),
         no_height.alias("height_missing"), no_stories.alias("stories_missing"),
-    )
+    ).drop("_none")

@@ -108,7 +108,7 @@ def read_grid_xml(spark: SparkSession, path: str) -> DataFrame:
     tags = F.regexp_extract_all("value", F.lit(r"(<grid_field\s[^>]*>)"), F.lit(1))
     entry = lambda t: F.struct(F.regexp_extract(t, r'name="([^"]+)"', 1).alias("k"), (F.regexp_extract(t, r'index="(\d+)"', 1).cast("int")).alias("i"))
     block = F.regexp_extract("value", r"(?s)<grid_data>(.*?)</grid_data>", 1)
-    rows = w.select(F.transform(tags, entry).alias("tags"), F.posexplode(F.split(F.trim(block), r"[\r\n]+")).alias("line", "text")).where("trim(text) <> ''")
+    rows = w.select(F.transform(tags, entry).alias("tags"), F.split(F.trim(block), r"[\r\n]+").alias("block")).select("tags", F.posexplode("block").alias("line", "text")).where("trim(text) <> ''")
     rows = rows.withColumn("p", F.split(F.trim("text"), r"\s+"))
     return rows.select("line", F.map_from_entries(F.transform("tags", lambda t: F.struct(t.k, F.try_element_at(F.col("p"), t.i).try_cast("double")))).alias("fields"))
 
