@@ -14,6 +14,8 @@ from slatework.session import ship, small
 
 # Letters that don't decompose, and their plain letters.
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h"})
+#: Spellings that a trie may hold in every task.
+MOST_SPELLINGS = 2_000_000
 #: Words around a value that don't tell entries apart.
 CITY_NOISE = r"^(?:city|town|municipality|greater) of | (?:city|town|municipality)$|^\d+ | \d+$"
 ROOF_NOISE = r"\b(?:roof|roofs|style|main|shape|shaped|type)\b"
@@ -35,7 +37,7 @@ def plain(value: str) -> str:
 
 def allowed(length: int) -> int:
     """Edits allowed for a text of this length."""
-    return 0 if length <= 3 else 1 if length <= 8 else 2 if length <= 15 else 3
+    return 0 if length <= 3 else 1 if length <= 5 else 2 if length <= 8 else 3
 
 
 class Trie:
@@ -144,18 +146,21 @@ def roof_paths(entries: list[tuple[int, str, str | None]]) -> list[tuple[str, in
     return list(dict.fromkeys(out))
 
 
-def mapped_values(values: DataFrame, paths: list[tuple[str, int]], noise: str) -> DataFrame:
-    """(value, refs) of distinct values: the ids of all entries at the least allowed distance, none if there is no entry.
+def mapped_values(values: DataFrame, paths: list[tuple[str, int]], noise: str, places: dict[int, tuple[float, float]]) -> DataFrame:
+    """(value, refs) of distinct values: all entries at the least allowed distance with their places, none if there is no entry.
 
     The trie is built in each task from the spellings, which grow with the
-    reference list only.
+    reference list only; a list of more than MOST_SPELLINGS is refused.
     """
+    if len(paths) > MOST_SPELLINGS:
+        raise ValueError(f"{len(paths)} spellings are too many for a trie in every task")
     ship(values.sparkSession)
-    shared = values.sparkSession.sparkContext.broadcast(paths)
+    shared = values.sparkSession.sparkContext.broadcast((paths, places))
     drop = noise
 
     def run(batches):
-        trie, strip = Trie(shared.value), regex.compile(drop)
+        spellings, at = shared.value
+        trie, strip = Trie(spellings), regex.compile(drop)
         for pdf in batches:
             refs = []
             for v in pdf["value"]:
@@ -164,51 +169,46 @@ def mapped_values(values: DataFrame, paths: list[tuple[str, int]], noise: str) -
                 if not hit and p:
                     bare = " ".join(strip.sub(" ", p).split())
                     hit = trie.best(bare) if bare and bare != p else []
-                refs.append(hit)
+                refs.append([{"ref": e, "lat": at.get(e, (None, None))[0], "lon": at.get(e, (None, None))[1]} for e in hit])
             yield pd.DataFrame({"value": pdf["value"], "refs": refs})
 
     n = values.sparkSession.sparkContext.defaultParallelism
     # Values come out of a distinct, so the exchange is by value already.
-    return values.select("value").where("value is not null").distinct().repartition(max(n, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "value").mapInPandas(run, "value string, refs array<long>")
+    wide = max(n, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return values.select("value").where("value is not null").distinct().repartition(wide, "value").mapInPandas(run, "value string, refs array<struct<ref:long,lat:double,lon:double>>")
 
 
-def to_reference(rows: DataFrame, reference: DataFrame, paths: list[tuple[str, int]], noise: str, ref_id: str, ref_name: str) -> DataFrame:
+def to_reference(rows: DataFrame, reference: DataFrame, paths: list[tuple[str, int]], noise: str, ref_id: str, ref_name: str, places: dict[int, tuple[float, float]] | None = None) -> DataFrame:
     """(id, value, ref_id, exact) of rows (id, value, lat, lon): the entry meant, -1 if none.
 
     A value that is an entry character for character is ``exact``. Of several
     entries at the same distance the one nearest to the row's location is meant,
-    without a location the first by id. Null values give no row. Values are
+    without a location (of the row or the entries) the first by id. Null values give no row. Values are
     searched once each, however many rows hold them.
     """
     r = reference.select(F.col(ref_id).cast("long").alias("ref"), F.col(ref_name).alias("name"))
     r = r.groupBy("name").agg(F.min("ref").alias("ref"))
-    exact = rows.where("value is not null").join(small(r), F.col("value") == F.col("name"), "left")
+    exact = rows.select("id", "value", "lat", "lon").where("value is not null").join(small(r), F.col("value") == F.col("name"), "left")
     hit = exact.where("ref is not null").select("id", "value", F.col("ref").alias("ref_id"), F.lit(True).alias("exact"))
     rest = exact.where("ref is null").select("id", "value", "lat", "lon")
-    found = rest.join(mapped_values(rest.select("value"), paths, noise), "value", "left")
-    if {"latitude", "longitude"} <= set(reference.columns):
-        at = reference.select(F.col(ref_id).cast("long").alias("k"), "latitude", "longitude").limit(100_000).collect()  # a reference list
-        places = F.create_map(*[x for p in at if p["latitude"] is not None and p["longitude"] is not None for x in (F.lit(p["k"]), F.struct(F.lit(float(p["latitude"])).alias("a"), F.lit(float(p["longitude"])).alias("o")))]) if at else None
-    else:
-        places = None
-    first = F.array_min("refs")
-    if places is not None:
-        near = F.array_min(
-            F.transform("refs", lambda e: F.struct(F.coalesce(geo.great_circle_m(F.col("lat"), F.col("lon"), F.try_element_at(places, e)["a"], F.try_element_at(places, e)["o"]), F.lit(1e12)).alias("d"), e.alias("e")))
-        )["e"]
-        first = F.when((F.size("refs") > 1) & geo.usable_location(F.col("lat"), F.col("lon")), near).otherwise(first)
-    return hit.unionByName(found.select("id", "value", F.coalesce(first, F.lit(-1)).cast("long").alias("ref_id"), F.lit(False).alias("exact")))
+    found = rest.join(mapped_values(rest.select("value"), paths, noise, places or {}), "value", "left")
+    here = geo.usable_location(F.col("lat"), F.col("lon"))
+    away = lambda e: F.coalesce(F.when(here, geo.great_circle_m(F.col("lat"), F.col("lon"), e.lat, e.lon)), F.lit(1e12))
+    best = F.array_min(F.transform("refs", lambda e: F.struct(away(e).alias("d"), e.ref.alias("ref"))))["ref"]
+    return hit.unionByName(found.select("id", "value", F.coalesce(best, F.lit(-1)).cast("long").alias("ref_id"), F.lit(False).alias("exact")))
 
 
 def cities(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Typed cities of (id, value, lat, lon) mapped to (city_id, city_name, country, latitude, longitude)."""
-    entries = [(r["city_id"], r["city_name"], r["country"]) for r in reference.select("city_id", "city_name", "country").where("city_name is not null").collect()]  # a reference list
-    return to_reference(rows.where(~text.is_blank(F.col("value"))), reference, city_paths(entries), CITY_NOISE, "city_id", "city_name")
+    listed = reference.where("city_name is not null").limit(MOST_SPELLINGS).collect()  # a reference list
+    entries = [(r["city_id"], r["city_name"], r["country"]) for r in listed]
+    places = {r["city_id"]: (r["latitude"], r["longitude"]) for r in listed if r["latitude"] is not None and r["longitude"] is not None}
+    return to_reference(rows.where(~text.is_blank(F.col("value"))), reference, city_paths(entries), CITY_NOISE, "city_id", "city_name", places)
 
 
 def roofshapes(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Typed roof shapes mapped to (shape_id, roofshape, also_called); values that stand for a missing one are left out."""
     from slatework.functions import entries as e
 
-    listed = [(r["shape_id"], r["roofshape"], r["also_called"]) for r in reference.where("roofshape is not null").collect()]  # a reference list
+    listed = [(r["shape_id"], r["roofshape"], r["also_called"]) for r in reference.where("roofshape is not null").limit(MOST_SPELLINGS).collect()]  # a reference list
     return to_reference(rows.where(~e.says_nothing(F.col("value"))), reference, roof_paths(listed), ROOF_NOISE, "shape_id", "roofshape")

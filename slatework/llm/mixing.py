@@ -23,7 +23,7 @@ def _demands(sizes: DataFrame, targets: DataFrame, tilt: float) -> DataFrame:
     """
     t = targets.where("target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     one = Window.partitionBy(F.lit(1))  # over a few rows, one per source
-    d = sizes.join(F.broadcast(t), "source").where("tokens > 0")
+    d = sizes.join(small(t), "source").where("tokens > 0")
     d = d.withColumn("share", F.col("target_share") / F.sum("target_share").over(one))
     d = d.withColumn("total", F.min(F.col("max_repeats") * F.col("tokens") / F.col("share")).over(one))
     # Slopes sum to zero when weighted by share.

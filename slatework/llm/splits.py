@@ -10,7 +10,7 @@ from slatework.session import small, written
 #: Rounds after which components must have converged; hooking with shortcutting needs about log2 of the longest path.
 MOST_ROUNDS = 60
 #: Subset sums are exact up to this many records; above it sizes are counted in units of total / BITS.
-BITS = 1 << 22
+BITS = 1 << 19
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -82,8 +82,9 @@ def assign(sizes: dict[int, int], shares: list[tuple[str, float]]) -> dict[str,
     """Per split how many components of each size it takes.
 
     Splits are served from the smallest share up, each by the subset sum closest
-    to its goal; the split with the largest share takes the rest. Above BITS records sizes
-    are rounded up to units of total / BITS, so a total is within one unit per component.
+    to its goal; the split with the largest share takes the rest. Above BITS
+    records sums are taken in units of total / BITS over the components of at least
+    a unit, and smaller components then fill what is left to the goal.
     """
     total = sum(s * n for s, n in sizes.items())
     unit = max(1, -(-total // BITS))
@@ -92,19 +93,27 @@ def assign(sizes: dict[int, int], shares: list[tuple[str, float]]) -> dict[str,
     out: dict[str, dict[int, int]] = {}
     order = sorted(shares, key=lambda x: (x[1], x[0]))
     for name, share in order[:-1]:
+        goal = round(total * share / whole)
         by: dict[int, list[int]] = {}
         for s, n in left.items():
-            if n:
-                by.setdefault(-(-s // unit), []).append(s)
-        picked = choose([(u, sum(left[s] for s in ss)) for u, ss in by.items()], round(total * share / whole / unit))
+            if n and s >= unit:
+                by.setdefault(round(s / unit), []).append(s)
+        picked = choose([(u, sum(left[s] for s in ss)) for u, ss in by.items()], round(goal / unit))
         out[name] = {}
+
+        def take(s: int, k: int, mine: dict[int, int] = out[name]) -> int:
+            k = min(k, left[s])
+            if k > 0:
+                mine[s] = mine.get(s, 0) + k
+                left[s] -= k
+            return max(k, 0)
+
         for u, count in picked.items():
             for s in sorted(by[u]):
-                k = min(count, left[s])
-                if k:
-                    out[name][s] = k
-                    left[s] -= k
-                    count -= k
+                count -= take(s, count)
+        for s in sorted((s for s in left if s < unit), reverse=True):
+            missing = goal - sum(a * b for a, b in out[name].items())
+            take(s, missing // s)
     if order:
         out[order[-1][0]] = {s: n for s, n in left.items() if n}
     return out
@@ -140,8 +149,7 @@ def grouped_splits(rows: DataFrame, id_col: str, keys: list[str], shares: list[t
     spark = rows.sparkSession
     table = spark.createDataFrame(spans, "size long, low long, high long, split string")
     # Components of a size are numbered in ranges of a hash, so one size shared by very many is no single task.
-    buckets = 64
-    numbered = _numbered(per, buckets)
+    numbered = _numbered(per, max(64, sum(sizes.values()) // 20_000))
     placed = numbered.join(small(table), "size").where("no >= low and no < high").select("component", "split")
     node = comp.join(placed, "component").select(F.col("node").alias("first"), "component", "split")
     return d.select("id", "first").join(small(node), "first").select("id", "component", "split")
