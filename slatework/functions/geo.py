@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slatework.functions.expr import let
+
 #: Mean earth radius in metres.
 EARTH_M = 6_371_008.8
 
@@ -80,25 +82,18 @@ def wkt_edges(wkt: Column) -> Column:
     rings = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
 
     def ring_points(ring: Column) -> Column:
-        return F.transform(
-            F.split(ring, ","),
-            lambda p: F.struct(
-                F.split(F.trim(p), r"\s+").getItem(0).try_cast("double").alias("x"),
-                F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(2)).try_cast("double").alias("y"),
-            ),
-        )
+        number = lambda w, i: F.try_element_at(w, F.lit(i)).try_cast("double")
+        return F.transform(F.split(ring, ","), lambda p: let(F.split(F.trim(p), r"\s+"), lambda w: F.struct(number(w, 1).alias("x"), number(w, 2).alias("y"))))
 
     def edges(ring: Column) -> Column:
-        pts = ring_points(ring)
-        return F.zip_with(
-            F.slice(pts, F.lit(1), F.greatest(F.size(pts) - 1, F.lit(0))),
-            F.slice(pts, F.lit(2), F.greatest(F.size(pts) - 1, F.lit(0))),
-            lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")),
-        )
-
-    out = F.flatten(F.transform(rings, edges))
-    good = wkt.rlike(r"(?i)^\s*(MULTI)?POLYGON\b") & (F.size(out) >= 3) & ~F.exists(out, lambda e: e.x1.isNull() | e.y1.isNull() | e.x2.isNull() | e.y2.isNull())
-    return F.when(good, out)
+        def pairs(pts: Column) -> Column:
+            n = F.greatest(F.size(pts) - 1, F.lit(0))
+            return F.zip_with(F.slice(pts, F.lit(1), n), F.slice(pts, F.lit(2), n), lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")))
+
+        return let(ring_points(ring), pairs)
+
+    whole = lambda out: F.when((F.size(out) >= 3) & ~F.exists(out, lambda e: e.x1.isNull() | e.y1.isNull() | e.x2.isNull() | e.y2.isNull()), out)
+    return F.when(wkt.rlike(r"(?i)^\s*(MULTI)?POLYGON\b"), let(F.flatten(F.transform(rings, edges)), whole))
 
 
 def crossings_odd(edges: Column, x: Column, y: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatework.functions.expr import let
+
 EPS = 1e-12
 # Radial bands (inner, outer], the first also holds 0; centred areas.
 BANDS = [(0.0, 0.2), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8), (0.8, 1.0)]
@@ -111,11 +113,6 @@ def profile_summary(stats: DataFrame, keys: list[str]) -> DataFrame:
 # The following work on the array of one row and need no shuffle.
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: else Catalyst repeats it in every element of a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def minmax(a: Column) -> Column:
     """Array scaled to 0..1; a constant one gives zeros. Doubles."""
     scaled = lambda s: F.transform(s.a, lambda v: F.when(s.hi > s.lo, (v - s.lo) / (s.hi - s.lo)).otherwise(0.0))
@@ -187,3 +184,26 @@ def matrix_product(a: Column, b: Column, n: int) -> Column:
         return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.element_at(a, (r * n + k + 1).cast("int")) * F.element_at(b, (k * n + c + 1).cast("int"))), F.lit(0.0), lambda s, v: s + v)
 
     return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), cell)
+
+
+def token_gradcam(activations: Column, gradients: Column, channels_: int, tokens: int) -> Column:
+    """Heatmap of supplied token activations and gradients (tokens x channels, row-major): the mean over the
+    channels of their product, without the class token, positive part or absolute values, scaled to 0..1."""
+    product = F.zip_with(activations, gradients, lambda a, g: a * g)
+    mean = lambda p: F.transform(F.sequence(F.lit(1), F.lit(tokens - 1)), lambda t: F.aggregate(F.slice(p, t * channels_ + 1, F.lit(channels_)), F.lit(0.0), lambda s, v: s + v) / channels_)
+    return let(let(product, mean), relu_or_abs)
+
+
+def spatial_gradcam(activations: Column, gradients: Column, channels_: int, size: int) -> Column:
+    """Heatmap of supplied activations and gradients (channels x size): each channel weighted by the mean of its gradients, then as above."""
+    weight = lambda g: F.transform(F.sequence(F.lit(0), F.lit(channels_ - 1)), lambda c: F.aggregate(F.slice(g, c * size + 1, F.lit(size)), F.lit(0.0), lambda s, v: s + v) / size)
+    at = lambda a, w, i: F.aggregate(F.transform(w, lambda x, c: x * F.element_at(a, (c * size + i + 1).cast("int"))), F.lit(0.0), lambda s, v: s + v)
+    return let(let(gradients, weight), lambda w: relu_or_abs(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: at(activations, w, i))))
+
+
+def rollout(layers: Column, n: int) -> Column:
+    """Class-token row, without itself, of the product of the layers' relevance: an array of structs (attention, gradient) of
+    n x n row-major matrices, first layer first. A layer's relevance is the positive part of attention x gradient plus the identity, rows scaled to one."""
+    one = lambda x: row_normalised(F.zip_with(x.attention, x.gradient, lambda a, g: a * g), n)
+    eye = F.array(*[F.lit(1.0 if i % (n + 1) == 0 else 0.0) for i in range(n * n)])
+    return F.slice(F.aggregate(layers, eye, lambda acc, x: matrix_product(one(x), acc, n)), F.lit(2), F.lit(n - 1))

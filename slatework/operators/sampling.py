@@ -57,3 +57,31 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int) ->
     d = d.withColumn("_r", F.row_number().over(pre)).where(F.col("_r") <= n)
     w = Window.partitionBy(group).orderBy("_u", key)
     return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_u", "_r")
+
+
+def with_replacement(rows: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
+    """draw (0..n-1), key: n weighted draws with replacement, by inverse CDF over the rows in key-hash order.
+
+    Rows are dealt to hash buckets of about a thousand; a draw finds its bucket in the list of bucket
+    totals (65,536 numbers at most) and its row within the bucket. Rows without a positive weight are never drawn.
+    """
+    d = rows.where(F.col(weight) > 0).select(key, F.col(weight).cast("double").alias("_w"))
+    count = d.count()
+    if not count or n <= 0:
+        return rows.select(F.lit(0).cast("long").alias("draw"), key).limit(0)
+    buckets = min(max(count // 1000, 1), 65_536)
+    d = d.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    sums = {r["_b"]: r["s"] for r in d.groupBy("_b").agg(F.sum("_w").alias("s")).collect()}  # one number per bucket
+    total, run, edges = sum(sums.values()), 0.0, []
+    for b in range(buckets):
+        run += sums.get(b, 0.0)
+        edges.append(run / total)
+    cdf = F.split(F.lit(",".join(repr(e) for e in edges)), ",").cast("array<double>")
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / float(1 << 52)).alias("_u")
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), uniform)
+    draws = draws.withColumn("_b", F.least(F.size(F.filter(cdf, lambda e: e <= F.col("_u"))), F.lit(buckets - 1)))
+    draws = draws.withColumn("_rest", (F.col("_u") - F.when(F.col("_b") == 0, 0.0).otherwise(F.element_at(cdf, F.greatest(F.col("_b"), F.lit(1))))) * total)
+    w = Window.partitionBy("_b").orderBy(key)
+    inner = d.withColumn("_to", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_to", key))).alias("_rows"))
+    hit = F.coalesce(F.try_element_at(F.filter("_rows", lambda r: r._to > F.col("_rest")), F.lit(1)), F.element_at("_rows", -1))
+    return draws.join(inner, "_b").select("draw", hit[key].alias(key))

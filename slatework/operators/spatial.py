@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatework.functions.expr import let
 from slatework.session import written
 
 
@@ -114,12 +115,15 @@ def ring_area(e: Column) -> Column:
 
 def ring_centroid(e: Column) -> Column:
     """Area-weighted centroid (struct x, y) of an edge array, relative to its first corner for precision; null without area."""
-    x0, y0 = F.element_at(e, 1)["x1"], F.element_at(e, 1)["y1"]
-    cross = lambda a: (a.x1 - x0) * (a.y2 - y0) - (a.x2 - x0) * (a.y1 - y0)
-    total = F.aggregate(e, F.lit(0.0), lambda s, a: s + cross(a))
-    sx = F.aggregate(e, F.lit(0.0), lambda s, a: s + (a.x1 + a.x2 - 2 * x0) * cross(a))
-    sy = F.aggregate(e, F.lit(0.0), lambda s, a: s + (a.y1 + a.y2 - 2 * y0) * cross(a))
-    return F.struct((x0 + F.try_divide(sx, 3 * total)).alias("x"), (y0 + F.try_divide(sy, 3 * total)).alias("y"))
+
+    def of(s: Column) -> Column:
+        cross = lambda a: (a.x1 - s.x0) * (a.y2 - s.y0) - (a.x2 - s.x0) * (a.y1 - s.y0)
+        zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        add = lambda z, a: F.struct((z.t + cross(a)).alias("t"), (z.x + (a.x1 + a.x2 - 2 * s.x0) * cross(a)).alias("x"), (z.y + (a.y1 + a.y2 - 2 * s.y0) * cross(a)).alias("y"))
+        return F.aggregate(s.e, zero, add, lambda z: F.struct((s.x0 + F.try_divide(z.x, 3 * z.t)).alias("x"), (s.y0 + F.try_divide(z.y, 3 * z.t)).alias("y")))
+
+    corner = lambda v: F.struct(v.alias("e"), F.try_element_at(v, F.lit(1))["x1"].alias("x0"), F.try_element_at(v, F.lit(1))["y1"].alias("y0"))
+    return let(e, lambda v: let(corner(v), of))
 
 
 # WGS84 ellipsoid and the transverse Mercator scale and offset.

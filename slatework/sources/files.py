@@ -254,3 +254,20 @@ def first_found(root: str, patterns: list[str]) -> str | None:
         if found := sorted(glob.glob(os.path.join(root, p), recursive=True)):
             return found[0]
     return None
+
+
+def nearby_buildings(buildings: DataFrame, point: tuple[float, float] | None = None, radius_m: float = 50.0, box: tuple[float, float, float, float] | None = None, place: str | None = None) -> DataFrame:
+    """Buildings (latitude, longitude, city, ...) of a local table around a point, in a box (south, west, north, east) or of a place: the stand-in for a map service.
+
+    Box and place are pushed down to the scan; a point is prefiltered by its box, then by the exact distance.
+    """
+    from slatework.functions import geo
+
+    out = buildings
+    if point is not None:
+        lat, lon = point
+        pad = radius_m / 111_000.0
+        out = out.where(F.col("latitude").between(lat - pad, lat + pad)).where(geo.great_circle_m(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon)) <= radius_m)
+    if box is not None:
+        out = out.where(F.col("latitude").between(box[0], box[2]) & F.col("longitude").between(box[1], box[3]))
+    return out if place is None else out.where(F.col("city") == place)
