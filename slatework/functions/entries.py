@@ -12,8 +12,8 @@ METRES_IN = {"m": 1.0, "ft": 0.3048, "yd": 0.9144, "cm": 0.01, "mm": 0.001}
 #: Metres in an inch, and in a storey.
 INCH_M = 0.0254
 STOREY_M = 3.0
-#: No building is taller than this.
-TALLEST_M = 115.0
+#: No building is taller than 115 m; half a decimetre more for values that were rounded in another unit.
+TALLEST_M = 115.05
 
 # Entries that stand for "not recorded", lower case, without blanks at the ends.
 NOT_RECORDED = [

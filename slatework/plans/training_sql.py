@@ -33,7 +33,7 @@ P6_FOUND = rf"""WITH {BASIS}, t AS (SELECT *, replace(lower(height_text), ',', '
 n AS (SELECT *, regexp_extract(h, '([0-9]+(\.[0-9]+)?)', 1) AS num, CASE WHEN NOT regexp_matches(coalesce(h, ''), '[0-9]') THEN NULL WHEN regexp_matches(h, '[0-9] ?(ft|feet|pies)') OR regexp_matches(h, '[''′]') THEN 'ft' WHEN regexp_matches(h, '[0-9] ?(cm|centi)') THEN 'cm' WHEN regexp_matches(h, '[0-9] ?mm') THEN 'mm' WHEN regexp_matches(h, '[0-9] ?y') THEN 'yd' ELSE 'm' END AS own FROM t),
 f AS (SELECT *, CASE own WHEN 'ft' THEN num::DOUBLE * 0.3048::DOUBLE + coalesce(try_cast(nullif(regexp_extract(h, '[0-9] ?(ft|''|′) ?([0-9]+)', 2), '') AS DOUBLE) * 0.0254::DOUBLE, 0) WHEN 'cm' THEN num::DOUBLE * 0.01::DOUBLE WHEN 'mm' THEN num::DOUBLE * 0.001::DOUBLE WHEN 'yd' THEN num::DOUBLE * 0.9144::DOUBLE END AS stated,
   CASE coalesce(unit, 'm') WHEN 'm' THEN height WHEN 'ft' THEN height * 0.3048::DOUBLE ELSE height * 0.01::DOUBLE END AS sourced FROM n),
-m AS (SELECT record_id, CASE WHEN own IS NOT NULL THEN stated WHEN sourced > 115 AND height * 0.01 <= 115 THEN height * 0.01::DOUBLE WHEN sourced > 115 THEN height * 0.001::DOUBLE ELSE sourced END AS metres FROM f WHERE NOT no_height AND (own <> 'm' OR (own IS NULL AND (coalesce(unit, 'm') <> 'm' OR height > 115)))),
+m AS (SELECT record_id, CASE WHEN own IS NOT NULL THEN stated WHEN sourced > 115.05 AND height * 0.01 <= 115.05 THEN height * 0.01::DOUBLE WHEN sourced > 115.05 THEN height * 0.001::DOUBLE ELSE sourced END AS metres FROM f WHERE NOT no_height AND (own <> 'm' OR (own IS NULL AND (coalesce(unit, 'm') <> 'm' OR height > 115.05)))),
 s AS (SELECT record_id, CASE coalesce(form, basis) WHEN 'above' THEN numstories + 1 WHEN 'tenths' THEN numstories / 10 ELSE regexp_extract(replace(stories_text, ',', '.'), '([0-9]+(\.[0-9]+)?)', 1)::DOUBLE / 3 END AS n FROM g WHERE NOT no_stories AND coalesce(form, basis) IN ('above', 'tenths', 'metres'))
 SELECT record_id, 'height' AS field, round(metres * 10)::BIGINT AS value_int FROM m UNION ALL SELECT record_id, 'numstories', round(n)::BIGINT FROM s"""
 
