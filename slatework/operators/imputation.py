@@ -9,7 +9,7 @@ alone, so later passes replay the earlier models instead of keeping state.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,7 @@ class Plan:
     groups: tuple[str, ...]
     seed: int = 42
     rounds: int = ROUNDS
+    shares: tuple[float, ...] = ()  # of the recorded classes; found by ``chained``
 
 
 @dataclass
@@ -53,8 +54,7 @@ def _start(pdf: pd.DataFrame, plan: Plan):
     x = np.where(gap, start, x)
     code = pdf["v_class"].to_numpy(float)
     no_class = np.isnan(code)
-    probs = np.stack(pdf["s_class"].to_numpy()) if len(pdf) else np.zeros((0, len(plan.classes)))
-    hot = np.where(no_class[:, None], probs, np.eye(len(plan.classes))[np.where(no_class, 0, code).astype(int)])
+    hot = np.where(no_class[:, None], np.array(plan.shares)[None, :], np.eye(len(plan.classes))[np.where(no_class, 0, code).astype(int)])
     fixed = np.column_stack([np.ones(len(pdf)), start, pdf["year"].to_numpy(float)])
     return x, gap, hot, no_class, fixed
 
@@ -132,7 +132,8 @@ def _sums(df: DataFrame, plan: Plan, models: Models, target: str) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"i": np.arange(total.size, dtype=np.int32), "v": total.ravel()})
 
-    rows = df.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # a matrix of fixed size
+    used = [c for c in df.columns if not c.startswith("k_")]  # the kept columns are not read in these passes
+    rows = df.select(*used).mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # a matrix of fixed size
     out = np.zeros(len(rows))
     for r in rows:
         out[r["i"]] = r["v"]
@@ -221,8 +222,7 @@ def chained(df: DataFrame, plan: Plan, id_col: str, when: str | None = None, kee
     """
     d = prepared(df, plan, id_col, when, keep)
     d = written(d, "impute-prepared")
-    shares = class_shares(d, len(plan.classes))
-    d = d.withColumn("s_class", F.array(*[F.lit(s) for s in shares]))
+    plan = replace(plan, shares=tuple(class_shares(d, len(plan.classes))))
     models = Models()
     for _ in range(plan.rounds):
         for target in (*plan.numeric, plan.categorical):
