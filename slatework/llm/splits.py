@@ -9,8 +9,8 @@ from slatework.session import small, written
 
 #: Rounds after which components must have converged; hooking with shortcutting needs about log2 of the longest path.
 MOST_ROUNDS = 60
-#: Subset sums are exact up to this many records; above it sizes are counted in units of total / BITS.
-BITS = 1 << 19
+#: Bits of reachable sums that are kept at once when a choice is read back (64 MB); the choice doesn't depend on it.
+BITS = 1 << 29
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,29 +52,52 @@ def choose(sizes: list[tuple[int, int]], goal: int) -> dict[int, int]:
 
     sizes: (size, number of components). A bitset of reachable sums grows by the
     powers of two in each multiplicity; the choice is read back from the bitsets
-    before each step. Ties go to the smaller total. Sums above twice the goal never
+    before each step. More than BITS of them are not kept, but made again by halves
+    of the steps. Ties go to the smaller total. Sums above twice the goal never
     help and are cut off.
     """
     if goal <= 0 or not sizes:
         return {}
     most = 2 * goal
     mask = (1 << (most + 1)) - 1
-    steps: list[tuple[int, int, int]] = []  # size, copies, sums reachable before
-    reach = 1
+    steps: list[tuple[int, int]] = []  # size, copies
     for size, copies in sorted(sizes, reverse=True):
         left, part = copies, 1
         while left > 0 and size > 0:
             take = min(part, left)
-            steps.append((size, take, reach))
-            reach |= (reach << (size * take)) & mask
+            steps.append((size, take))
             left -= take
             part *= 2
-    total = next(t for d in range(goal + 1) for t in (goal - d, goal + d) if reach >> t & 1)
+
+    def grown(reach: int, step: tuple[int, int]) -> int:
+        by = step[0] * step[1]
+        return reach | ((reach << by) & mask) if by <= most else reach
+
+    reach = 1
+    for step in steps:
+        reach = grown(reach, step)
+    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    over = reach >> (goal + 1)
+    above = goal + (over & -over).bit_length() if over else None
+    total = below if above is None or goal - below <= above - goal else above
     out: dict[int, int] = {}
-    for size, take, before in reversed(steps):
-        if not before >> total & 1:
-            out[size] = out.get(size, 0) + take
-            total -= size * take
+    keep = max(1, BITS // (most + 1))
+    parts = [(0, len(steps), 1)]  # steps from, to; sums reachable before the first
+    while parts:
+        low, high, reach = parts.pop()
+        if high - low > keep:
+            half, mid = reach, (low + high) // 2
+            for step in steps[low:mid]:
+                half = grown(half, step)
+            parts += [(low, mid, reach), (mid, high, half)]
+            continue
+        before = [reach]
+        for step in steps[low : high - 1]:
+            before.append(grown(before[-1], step))
+        for (size, take), known in zip(reversed(steps[low:high]), reversed(before), strict=False):
+            if not known >> total & 1:
+                out[size] = out.get(size, 0) + take
+                total -= size * take
     return out
 
 
@@ -82,38 +105,18 @@ def assign(sizes: dict[int, int], shares: list[tuple[str, float]]) -> dict[str,
     """Per split how many components of each size it takes.
 
     Splits are served from the smallest share up, each by the subset sum closest
-    to its goal; the split with the largest share takes the rest. Above BITS
-    records sums are taken in units of total / BITS over the components of at least
-    a unit, and smaller components then fill what is left to the goal.
+    to its goal; the split with the largest share takes the rest. Sums are in
+    records, whatever the size.
     """
     total = sum(s * n for s, n in sizes.items())
-    unit = max(1, -(-total // BITS))
     whole = sum(share for _, share in shares) or 1.0
     left = dict(sizes)
     out: dict[str, dict[int, int]] = {}
     order = sorted(shares, key=lambda x: (x[1], x[0]))
     for name, share in order[:-1]:
-        goal = round(total * share / whole)
-        by: dict[int, list[int]] = {}
-        for s, n in left.items():
-            if n and s >= unit:
-                by.setdefault(round(s / unit), []).append(s)
-        picked = choose([(u, sum(left[s] for s in ss)) for u, ss in by.items()], round(goal / unit))
-        out[name] = {}
-
-        def take(s: int, k: int, mine: dict[int, int] = out[name]) -> int:
-            k = min(k, left[s])
-            if k > 0:
-                mine[s] = mine.get(s, 0) + k
-                left[s] -= k
-            return max(k, 0)
-
-        for u, count in picked.items():
-            for s in sorted(by[u]):
-                count -= take(s, count)
-        for s in sorted((s for s in left if s < unit), reverse=True):
-            missing = goal - sum(a * b for a, b in out[name].items())
-            take(s, missing // s)
+        out[name] = choose([(s, n) for s, n in left.items() if n], round(total * share / whole))
+        for s, n in out[name].items():
+            left[s] -= n
     if order:
         out[order[-1][0]] = {s: n for s, n in left.items() if n}
     return out

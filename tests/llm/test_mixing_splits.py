@@ -91,6 +91,23 @@ def test_assign_in_units(monkeypatch):
     assert all(sum(v.get(s, 0) for v in plan.values()) == n for s, n in sizes.items())
 
 
+@pytest.mark.parametrize("sizes", [{3: 200_000}, {29: 340_000}, {29: 20_000, 31: 900, 4001: 7}])
+def test_assign_is_exact_without_singletons(sizes):
+    total = sum(s * n for s, n in sizes.items())
+    plan = splits.assign(sizes, [("train", 0.8), ("val", 0.1), ("holdout", 0.1)])
+    for name in ("val", "holdout"):
+        assert abs(sum(s * n for s, n in plan[name].items()) - round(total * 0.1)) <= min(sizes) // 2
+    assert all(sum(v.get(s, 0) for v in plan.values()) == n for s, n in sizes.items())
+
+
+def test_choice_is_the_same_however_many_bits_are_kept(monkeypatch):
+    rnd = random.Random(6)
+    cases = [({rnd.randint(2, 90): rnd.randint(1, 40) for _ in range(12)}, rnd.randint(1, 900)) for _ in range(20)]
+    whole = [splits.choose(list(sizes.items()), goal) for sizes, goal in cases]
+    monkeypatch.setattr(splits, "BITS", 1)
+    assert [splits.choose(list(sizes.items()), goal) for sizes, goal in cases] == whole
+
+
 def test_records_that_share_a_key_stay_together(spark):
     rnd = random.Random(3)
     rows = [(i, f"a{rnd.randint(0, 60)}" if i % 9 else None, f"b{rnd.randint(0, 200)}" if i % 4 == 0 else None) for i in range(600)]
