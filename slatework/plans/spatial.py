@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slatework.functions import geo
 from slatework.functions.vocab import RESIDENTIAL_USES
 from slatework.operators import exposure, sampling, spatial
-from slatework.plans.base import PARTS_SQL, POINTS_SQL, SITES_SQL, parts, points, query, r6, sites
+from slatework.plans.base import PARTS_SQL, POINTS_SQL, SITES_SQL, all_points, parts, points, query, r6, sites
 from slatework.session import table
 
 HALF = 15.0
@@ -66,16 +66,16 @@ def knn_radius_enrich(spark: SparkSession, d: str) -> DataFrame:
 CAND_SQL = f"{POINTS_SQL}, {SITES_SQL}, {BOXES_SQL}, c AS (SELECT pid, bid, sqrt(greatest(x0 - x, 0, x - x1) ** 2 + greatest(y0 - y, 0, y - y1) ** 2) AS boundary, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS centre FROM points CROSS JOIN boxes)"
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
+def _candidates(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
     """Points within 40 of a square: near its centre by at most 40 plus half the diagonal, then exactly."""
-    near = spatial.near(points(spark, d).select("pid", "x", "y"), sites(spark, d), 40.0 + HALF * 2**0.5)
+    near = spatial.near(p.select("pid", "x", "y"), sites(spark, d), 40.0 + HALF * 2**0.5)
     c = near.join(_squares(spark, d).withColumnRenamed("bid", "sid"), "sid").withColumn("boundary", spatial.box_distance(F.col("x"), F.col("y")))
     return c.where("boundary <= 40").select("pid", F.col("sid").alias("bid"), "boundary", F.sqrt("d2").alias("centre"))
 
 
 @query(f"WITH {CAND_SQL} SELECT pid, bid, round(boundary, 6) AS boundary, round(centre, 6) AS centre FROM c WHERE boundary <= 40")
 def distance_join(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d).select("pid", "bid", r6("boundary").alias("boundary"), r6("centre").alias("centre"))
+    return _candidates(spark, d, points(spark, d)).select("pid", "bid", r6("boundary").alias("boundary"), r6("centre").alias("centre"))
 
 
 @query(f"WITH {POINTS_SQL}, {SITES_SQL}, {BOXES_SQL} SELECT pid, bid FROM points p LEFT JOIN boxes b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
@@ -85,8 +85,8 @@ def point_in_box_left(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stable_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one assignment of points to squares; iterative, tested against brute force."""
-    return spatial.stable_pairs(_candidates(spark, d))
+    """One-to-one assignment of all customers' points to squares; iterative, tested against brute force."""
+    return spatial.stable_pairs(_candidates(spark, d, all_points(spark, d)))
 
 
 MATCH_SQL = f"""{PARTS_SQL}, q AS (SELECT p_partkey, p_type, split_part(mat_llrs, '/', 2) AS ld, h, p_partkey % 40 = 0 AND p_type <> 'SMALL' AS inlib FROM parts),
