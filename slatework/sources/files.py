@@ -13,37 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytes of a file's start that are looked at for its encoding.
-PEEK = 1 << 20
-
-
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
     """CSV with a header; the schema is inferred only if none is given."""
     r = spark.read.option("header", True).options(**options)
     return r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
 
 
-def encoding_of(data: bytes) -> str:
-    """UTF-8 if the bytes are, apart from a character cut off at their end; else ISO-8859-1."""
-    for cut in range(4):
-        try:
-            data[: len(data) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError as e:
-            if e.start < len(data) - 4:
-                break
-    return "ISO-8859-1"
-
-
 def read_csv_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV in UTF-8, or in Latin-1 if the start of any of its files is not UTF-8. Executors look, not the driver."""
-    heads = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PEEK).alias("head"))
-
-    def look(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"e": [encoding_of(bytes(h)) for h in pdf["head"]]})
-
-    latin = not heads.mapInPandas(look, "e string").where("e <> 'UTF-8'").isEmpty()
+    """CSV in UTF-8, or in Latin-1 if any line of any of its files is not UTF-8. Executors look at all bytes, not the driver."""
+    # Lines keep their bytes as they are in the file; no character of UTF-8 has the byte of a line's end within it.
+    latin = not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
     return read_csv(spark, path, schema, encoding="ISO-8859-1" if latin else "UTF-8")
 
 

@@ -21,6 +21,14 @@ def test_csv_encodings(spark, tmp_path):
     assert files.read_csv(spark, a).dtypes == [("x", "string"), ("y", "int")]
 
 
+def test_csv_encoding_of_late_accents(spark, tmp_path):
+    rows = "x,y\n" + "plain,1\n" * 200_000
+    late, cut, utf = put(tmp_path / "l.csv", rows + "é,2\n", "latin-1"), put(tmp_path / "c.csv", rows + "2,é", "latin-1"), put(tmp_path / "u.csv", rows + "é,2\n")
+    assert files.read_csv_any(spark, late, "x string, y int").where("y = 2").first()["x"] == "é"
+    assert files.read_csv_any(spark, cut, "x string, y string").where("x = '2'").first()["y"] == "é"
+    assert files.read_csv_any(spark, utf, "x string, y int").where("y = 2").first()["x"] == "é"
+
+
 def test_results_and_runs(spark, tmp_path):
     p = put(tmp_path / "r.csv", "# made by an engine\n asset_id , p1 \na,0.5\nb,0.25\n")
     r = files.read_result_csv(spark, p, ["asset_id", "p1"])
