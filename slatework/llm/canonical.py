@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatework.functions import geo, text
-from slatework.session import ship, small
+from slatework.session import ship, small, whole_list
 
 # Letters that don't decompose, and their plain letters.
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h"})
@@ -200,9 +200,9 @@ def to_reference(rows: DataFrame, reference: DataFrame, paths: list[tuple[str, i
 
 def cities(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Typed cities of (id, value, lat, lon) mapped to (city_id, city_name, country, latitude, longitude)."""
-    listed = reference.where("city_name is not null").limit(MOST_SPELLINGS).collect()  # a reference list
-    entries = [(r["city_id"], r["city_name"], r["country"]) for r in listed]
-    places = {r["city_id"]: (r["latitude"], r["longitude"]) for r in listed if r["latitude"] is not None and r["longitude"] is not None}
+    named = whole_list(reference.where("city_name is not null"), MOST_SPELLINGS)  # a reference list
+    entries = [(r["city_id"], r["city_name"], r["country"]) for r in named]
+    places = {r["city_id"]: (r["latitude"], r["longitude"]) for r in named if r["latitude"] is not None and r["longitude"] is not None}
     return to_reference(rows.where(~text.is_blank(F.col("value"))), reference, city_paths(entries), CITY_NOISE, "city_id", "city_name", places)
 
 
@@ -210,5 +210,5 @@ def roofshapes(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Typed roof shapes mapped to (shape_id, roofshape, also_called); values that stand for a missing one are left out."""
     from slatework.functions import entries as e
 
-    listed = [(r["shape_id"], r["roofshape"], r["also_called"]) for r in reference.where("roofshape is not null").limit(MOST_SPELLINGS).collect()]  # a reference list
-    return to_reference(rows.where(~e.says_nothing(F.col("value"))), reference, roof_paths(listed), ROOF_NOISE, "shape_id", "roofshape")
+    named = [(r["shape_id"], r["roofshape"], r["also_called"]) for r in whole_list(reference.where("roofshape is not null"), MOST_SPELLINGS)]  # a reference list
+    return to_reference(rows.where(~e.says_nothing(F.col("value"))), reference, roof_paths(named), ROOF_NOISE, "shape_id", "roofshape")

@@ -9,7 +9,7 @@ from slatework.functions import text
 from slatework.llm import bpe, canonical, lookalike, mixing, overlap, pieces, splits
 from slatework.llm.queries_sql import SQL  # noqa: F401
 from slatework.operators import proximity
-from slatework.session import table, written
+from slatework.session import table, whole_list, written
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +125,7 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "building_metadata").select("record_id", _split(F.col("split")).alias("split_now"))
     city = _typed_cities(spark, d).where("ref_id >= 0").select(F.col("id").alias("record_id"), F.col("ref_id").alias("city_id"))
     rows = written(b.join(city, "record_id", "left"), "splits-cities")
-    shares = [(r["split"], r["share"]) for r in table(spark, d, "split_targets").where("split is not null and share > 0").limit(1000).collect()]  # one row per split
+    shares = [(r["split"], r["share"]) for r in whole_list(table(spark, d, "split_targets").where("split is not null and share > 0"), 1000)]  # one row per split
     new = splits.grouped_splits(rows, "record_id", ["city_id"], shares)
     return rows.join(new.withColumnRenamed("id", "record_id"), "record_id")
 

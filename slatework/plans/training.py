@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slatework.functions import entries, text
 from slatework.operators import imputation, proximity, units
 from slatework.plans.training_sql import SQL  # noqa: F401
-from slatework.session import ship, table, written
+from slatework.session import ship, table, whole_list, written
 
 #: Metres within which two records are near each other.
 NEAR_M = 20.0
@@ -88,7 +88,7 @@ def p2_filled(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "building_metadata").select(*UNIT_COLUMNS, "filename", "city", "material_class", "fpArea", "roofshape")
     c = units.common_units(b, table(spark, d, "source_catalog"))
     shapes = table(spark, d, "roofshape_list")
-    names = [(r["roofshape"], [r["roofshape"], *(r["also_called"] or "").split(",")]) for r in shapes.select("roofshape", "also_called").limit(1000).collect()]  # a list of shapes, bounded here
+    names = [(r["roofshape"], [r["roofshape"], *(r["also_called"] or "").split(",")]) for r in whole_list(shapes.select("roofshape", "also_called"), 1000)]  # a list of shapes, bounded here
     known = [x for name, called in names for call in called if call.strip() for x in (F.lit(call.strip().lower()), F.lit(name))]
     shape = F.try_element_at(F.create_map(*known), _plain_shape(F.col("roofshape"))) if known else F.lit(None).cast("string")
     c = c.select(

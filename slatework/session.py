@@ -108,6 +108,14 @@ def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     return df.repartition(want, *[F.col(k) for k in keys])
 
 
+def whole_list(df: DataFrame, rows: int) -> list:
+    """All rows of a list that has at most ``rows`` of them; a longer one is refused, not cut."""
+    out = df.limit(rows + 1).collect()
+    if len(out) > rows:
+        raise ValueError(f"a list of {', '.join(df.columns)} has more than {rows} rows")
+    return out
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows.
 
