@@ -40,15 +40,17 @@ def _quoted(s: str) -> str:
 def _query(column: str, kind: str) -> str:
     """DuckDB query of the one form: without invisible characters, compatibility forms as plain ones,
     look-alikes as one letter, NFC, every blank as a space, none at the ends. ``image`` also drops
-    case, folders and the traces of handling."""
+    case, folders and the traces of handling; case goes before look-alikes are mapped, in ``capitals`` after and before."""
     a, b = _compatible()
     spans = "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in COMPATIBLE)
-    fold = kind == "image"
+    fold = kind != "text"
+    letters = f"SELECT * REPLACE ((CASE WHEN regexp_matches({column}, '[^ -~]') THEN nfc_normalize(translate({column}, {_quoted(''.join(LOOKALIKES))}, {_quoted(''.join(LOOKALIKES.values()))})) ELSE {column} END) AS {column}) FROM ({{}})"
     steps = [
         f"SELECT * REPLACE (regexp_replace({column}, '{INVISIBLE}', '', 'g') AS {column}) FROM batch",
         f"SELECT * REPLACE ((CASE WHEN regexp_matches({column}, '[{spans}]') THEN translate({column}, {_quoted(a)}, {_quoted(b)}) ELSE {column} END) AS {column}) FROM ({{}})",
+        *([letters] if kind == "capitals" else []),
         *([f"SELECT * REPLACE (lower(nfc_normalize({column})) AS {column}) FROM ({{}})"] if fold else []),
-        f"SELECT * REPLACE ((CASE WHEN regexp_matches({column}, '[^ -~]') THEN nfc_normalize(translate({column}, {_quoted(''.join(LOOKALIKES))}, {_quoted(''.join(LOOKALIKES.values()))})) ELSE {column} END) AS {column}) FROM ({{}})",
+        letters,
         f"SELECT * REPLACE (trim(regexp_replace({column}, '{BLANKS}', ' ', 'g')) AS {column}) FROM ({{}})",
     ]
     if fold:
@@ -60,13 +62,14 @@ def _query(column: str, kind: str) -> str:
 
 
 def one_form(df: DataFrame, text_col: str, kind: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., ``form``) of every row: the text in the one form, or with kind="image" the folded image name.
+    """(keep..., ``form``) of every row: the text in the one form, or with kind="image" the folded image name,
+    or with kind="capitals" the image name folded after capital look-alikes are mapped: names of one form are one there too.
 
     Null stays null, blank and invisible texts become empty. Long texts are taken
     whole. Rows keep their order within a partition; nothing is shuffled. A kept
     column may have any name but ``form``.
     """
-    if kind not in ("text", "image"):
+    if kind not in ("text", "image", "capitals"):
         raise ValueError(kind)
     if "form" in keep:
         raise ValueError("form is the name of the result")

@@ -89,7 +89,11 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     """(id_e, id_t) pairs of an evaluation and a training record that show the same building."""
     b = table(spark, d, "building_metadata").select("record_id", "filename", "latitude", "longitude", _split(F.col("split")).alias("part")).where("part is not null")
     training, evaluation = b.where("part = 'train'"), b.where("part <> 'train'")
-    names = written(lookalike.one_form(b, "filename", "image", keep=("record_id", "part")), "overlap-names").where("form <> ''")
+    names = written(lookalike.one_form(b, "filename", "image", keep=("record_id", "part", "filename")), "overlap-names")
+    # A capital may look like another letter than its small one does: names of other than plain letters are also compared in the other order.
+    other = lookalike.one_form(names.where(r"filename rlike '[^ -~]'").withColumnRenamed("form", "plain"), "filename", "capitals", keep=("record_id", "part", "plain"))
+    other = written(other.where("form <> plain").select("record_id", "part", "form"), "overlap-names")
+    names = names.select("record_id", "part", "form").unionByName(other).where("form <> ''")
     named = [names.where(cond).select(F.col("record_id").alias("id"), F.col("form").alias("text")) for cond in ("part <> 'train'", "part = 'train'")]
     by_name = overlap.cross_pairs(*named, lambda t: overlap.char_shingles(t, NAME_SHINGLE), 1.0, same_text=True)
     at = [proximity.located(x, "record_id", "latitude", "longitude") for x in (evaluation, training)]
