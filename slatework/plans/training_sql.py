@@ -29,12 +29,19 @@ g AS (SELECT *, height IS NULL OR isnan(height) OR height <= 0 AS no_height, fpA
 P2_FOUND = f"""WITH {BASIS} SELECT record_id, 'height' AS field FROM g WHERE no_height UNION ALL SELECT record_id, 'numstories' FROM g WHERE no_stories UNION ALL SELECT record_id, 'fpArea' FROM g WHERE no_area
 UNION ALL SELECT record_id, 'roofshape' FROM g WHERE roofshape IS NULL OR lower(regexp_replace(roofshape, '^{BLANK}+|{BLANK}+$', '', 'g')) IN {STANDIN}"""
 
-P6_FOUND = rf"""WITH {BASIS}, t AS (SELECT *, replace(lower(height_text), ',', '.') AS h FROM g),
+# Units of every row and its values in metres and storeys, missing ones null.
+COMMON = rf"""{BASIS}, t AS (SELECT *, replace(lower(height_text), ',', '.') AS h FROM g),
 n AS (SELECT *, regexp_extract(h, '([0-9]+(\.[0-9]+)?)', 1) AS num, CASE WHEN NOT regexp_matches(coalesce(h, ''), '[0-9]') THEN NULL WHEN regexp_matches(h, '[0-9] ?(ft|feet|pies)') OR regexp_matches(h, '[''′]') THEN 'ft' WHEN regexp_matches(h, '[0-9] ?(cm|centi)') THEN 'cm' WHEN regexp_matches(h, '[0-9] ?mm') THEN 'mm' WHEN regexp_matches(h, '[0-9] ?y') THEN 'yd' ELSE 'm' END AS own FROM t),
-f AS (SELECT *, CASE own WHEN 'ft' THEN num::DOUBLE * 0.3048::DOUBLE + coalesce(try_cast(nullif(regexp_extract(h, '[0-9] ?(ft|''|′) ?([0-9]+)', 2), '') AS DOUBLE) * 0.0254::DOUBLE, 0) WHEN 'cm' THEN num::DOUBLE * 0.01::DOUBLE WHEN 'mm' THEN num::DOUBLE * 0.001::DOUBLE WHEN 'yd' THEN num::DOUBLE * 0.9144::DOUBLE END AS stated,
+f AS (SELECT *, CASE own WHEN 'm' THEN num::DOUBLE WHEN 'ft' THEN num::DOUBLE * 0.3048::DOUBLE + coalesce(try_cast(nullif(regexp_extract(h, '[0-9] ?(ft|''|′) ?([0-9]+)', 2), '') AS DOUBLE) * 0.0254::DOUBLE, 0) WHEN 'cm' THEN num::DOUBLE * 0.01::DOUBLE WHEN 'mm' THEN num::DOUBLE * 0.001::DOUBLE WHEN 'yd' THEN num::DOUBLE * 0.9144::DOUBLE END AS stated,
   CASE coalesce(unit, 'm') WHEN 'm' THEN height WHEN 'ft' THEN height * 0.3048::DOUBLE ELSE height * 0.01::DOUBLE END AS sourced FROM n),
-m AS (SELECT record_id, CASE WHEN own IS NOT NULL THEN stated WHEN sourced > 115.05 AND height * 0.01 <= 115.05 THEN height * 0.01::DOUBLE WHEN sourced > 115.05 THEN height * 0.001::DOUBLE ELSE sourced END AS metres FROM f WHERE NOT no_height AND (own <> 'm' OR (own IS NULL AND (coalesce(unit, 'm') <> 'm' OR height > 115.05)))),
-s AS (SELECT record_id, CASE coalesce(form, basis) WHEN 'above' THEN numstories + 1 WHEN 'tenths' THEN numstories / 10 ELSE regexp_extract(replace(stories_text, ',', '.'), '([0-9]+(\.[0-9]+)?)', 1)::DOUBLE / 3 END AS n FROM g WHERE NOT no_stories AND coalesce(form, basis) IN ('above', 'tenths', 'metres'))
-SELECT record_id, 'height' AS field, round(metres * 10)::BIGINT AS value_int FROM m UNION ALL SELECT record_id, 'numstories', round(n)::BIGINT FROM s"""
+common AS (SELECT *, CASE WHEN no_height THEN NULL WHEN own IS NOT NULL THEN own WHEN sourced > 115.05 AND height * 0.01 <= 115.05 THEN 'cm' WHEN sourced > 115.05 THEN 'mm' ELSE coalesce(unit, 'm') END AS used,
+  CASE WHEN no_height THEN NULL WHEN own IS NOT NULL THEN stated WHEN sourced > 115.05 AND height * 0.01 <= 115.05 THEN height * 0.01::DOUBLE WHEN sourced > 115.05 THEN height * 0.001::DOUBLE ELSE sourced END AS metres,
+  CASE WHEN no_stories THEN NULL WHEN form IS NULL AND (basis IS NULL OR basis = 'storeys') THEN 'total' ELSE coalesce(form, basis) END AS counted,
+  CASE WHEN no_stories THEN NULL WHEN coalesce(form, basis) = 'above' THEN numstories + 1 WHEN coalesce(form, basis) = 'tenths' THEN numstories / 10 WHEN form = 'metres' THEN regexp_extract(replace(stories_text, ',', '.'), '([0-9]+(\.[0-9]+)?)', 1)::DOUBLE / 3 ELSE numstories END AS storeys FROM f)"""
 
-SQL = {"p1_found": P1_FOUND, "p1_neighbours": P1_NEIGHBOURS, "p2_found": P2_FOUND, "p6_found": P6_FOUND}
+P6_FOUND = f"""WITH {COMMON} SELECT record_id, 'height' AS field, round(metres * 10)::BIGINT AS value_int FROM common WHERE used <> 'm'
+UNION ALL SELECT record_id, 'numstories', round(storeys)::BIGINT FROM common WHERE counted <> 'total'"""
+
+P6_COMMON = f"""WITH {COMMON} SELECT record_id, round(metres, 3) AS height_m, used AS height_unit_used, round(storeys, 3) AS stories_total, counted AS stories_basis_used FROM common"""
+
+SQL = {"p1_found": P1_FOUND, "p1_neighbours": P1_NEIGHBOURS, "p2_found": P2_FOUND, "p6_found": P6_FOUND, "p6_common": P6_COMMON}

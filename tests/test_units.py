@@ -102,3 +102,60 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, None, 3.0, None, 1.0, None)], ROWS).withColumns({"_unit": F.lit("x"), "height_m": F.lit("y"), "_own": F.lit(1)})
     r = units.common_units(df, cat).first()
     assert (r["_unit"], r["height_m"], r["_own"]) == ("x", 3.0, 1)
+
+
+def test_sources_that_the_catalogue_leaves_out_or_gets_wrong(spark):
+    """Segments decide where no entry of the catalogue does, or a wrong one; without them the values stay as they are."""
+    rnd = random.Random(8)
+    rows, metres = [], {}
+    for i in range(900):
+        at = dt.datetime(2018, 1, 1) + dt.timedelta(days=i)
+        for k, (source, factor, by) in enumerate((("good", 1.0, 1), ("unlisted", 0.01 if i < 450 else 1.0, 1), ("wrong", 0.3048, 10 if i >= 300 else 1), ("south", 1.0, 1), ("north", 1.0, 1))):
+            n = rnd.randint(1, 8)
+            metres[k * 1000 + i] = (3.0 * n + rnd.random(), n)
+            rows.append((k * 1000 + i, source, at, metres[k * 1000 + i][0] / factor, None, float(n * by), None))
+    cat = [(x, None, None, "m", "storeys", "") for x in ("good", "wrong", "south", "north")]
+    r = common(spark, rows, cat)
+    right = lambda i: abs(r[i].height_m - metres[i][0]) < 1e-6 and r[i].stories_total == metres[i][1]
+    for k in range(5):
+        assert sum(right(k * 1000 + i) for i in range(900)) >= 890
+    # With no cut allowed but at the catalogue's edges, the unlisted and the wrong source lose their shifts.
+    flat = units.common_units(spark.createDataFrame(rows, ROWS), spark.createDataFrame(cat, CATALOGUE), penalty=1e12)
+    lost = {x.id for x in flat.collect() if abs(x.height_m - metres[x.id][0]) > 1e-6 or x.stories_total != metres[x.id][1]}
+    assert len(lost & set(range(1000, 1900))) >= 400
+    assert len(lost & set(range(2000, 2900))) >= 250
+
+
+def test_edges_of_the_catalogue_hold_to_the_moment(spark):
+    cut = dt.datetime(2021, 7, 1, 12, 30)
+    rows = [(i, "m", cut + dt.timedelta(minutes=i - 5), 20.0, None, 0.0, None) for i in range(10)]
+    r = common(spark, rows, [("m", None, cut, "m", "storeys", ""), ("m", cut, None, "ft", None, "the level at street height is not counted")])
+    assert [r[i].height_changed for i in range(10)] == [False] * 5 + [True] * 5
+    assert [r[i].stories_total for i in range(10)] == [None] * 5 + [1.0] * 5
+
+
+def test_answers_come_from_the_segments(spark, sf, monkeypatch):
+    from slatework.plans.training import p6_found
+
+    whole = p6_found(spark, sf).count()
+    monkeypatch.setattr(units, "source_pieces", lambda values, *_: values.sparkSession.createDataFrame([], units.PIECES))
+    assert p6_found(spark, sf).count() < 0.7 * whole
+
+
+def test_free_cuts_are_optimal():
+    rnd = random.Random(2)
+    for _ in range(20):
+        n = np.array([rnd.randint(0, 3) for _ in range(8)], dtype=float)
+        mean = np.array([rnd.gauss(0, 1) for _ in range(8)])
+        free = np.array([False] + [rnd.random() < 0.3 for _ in range(7)])
+
+        def cost(cuts, n=n, mean=mean, free=free):
+            total = 0.0
+            for a, b in itertools.pairwise([0, *cuts, len(n)]):
+                total += (n[a:b] * mean[a:b] ** 2).sum() - (n[a:b] * mean[a:b]).sum() ** 2 / max(n[a:b].sum(), 1e-12)
+            return total + sum(-0.001 if free[c] else 1.0 for c in cuts)
+
+        best = min(cost(c) for k in range(8) for c in itertools.combinations(range(1, 8), k))
+        got = units.changepoints(n, mean, mean**2, 1.0, free)
+        assert cost(got[1:]) == pytest.approx(best)
+        assert set(np.flatnonzero(free)) <= set(got)
