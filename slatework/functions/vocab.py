@@ -6,11 +6,13 @@ MATERIALS = [
     "GlassSheetMaterials", "AmorphousConcrete", "AmorphousAsphalt", "AmorphousMembrane", "AmorphousFabric", "Unknown", "GreenVegetative",
 ]
 # Damage classes from least to most severe.
-DAMAGE_CLASSES = ["no-damage", "minor", "major", "destroyed"]
+DAMAGE_CLASSES = ["no-damage", "minor-damage", "major-damage", "destroyed"]
+# Rank of a class, the most severe first; tables also write two of them short.
+SEVERITY = {"destroyed": 0, "major-damage": 1, "major": 1, "minor-damage": 2, "minor": 2, "no-damage": 3}
 # Class of each of the five damage probabilities, in their order.
-PROBABILITY_CLASSES = ["no-damage", "minor", "minor", "major", "destroyed"]
+PROBABILITY_CLASSES = ["no-damage", "minor-damage", "minor-damage", "major-damage", "destroyed"]
 # Class of a surveyed damage level, lower case.
-LEVEL_CLASSES = {"slight": "minor", "moderate": "minor", "damaged": "major", "extensive": "major", "complete": "destroyed"}
+LEVEL_CLASSES = {"slight": "minor-damage", "moderate": "minor-damage", "damaged": "major-damage", "extensive": "major-damage", "complete": "destroyed"}
 # Codes of roof classes; others have none.
 ROOF_CODES = {
     "AmorphousConcrete": 10, "ClayTiles": 10, "MetalSheetMaterials": 34, "AmorphousAsphalt": 23, "AmorphousMembrane": 99, "AmorphousFabric": 99,

@@ -7,7 +7,9 @@ aggregates combine before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatework.functions.expr import let
@@ -37,15 +39,22 @@ def radial(x: Column, y: Column, width: int, height: int) -> Column:
     return F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) / far if far > 0 else F.lit(0.0)
 
 
+def _raw() -> list[Column]:
+    return [F.sum("v").alias("raw_sum"), F.sum(F.abs("v")).alias("abs_sum"), F.min("v").alias("raw_min"), F.max("v").alias("raw_max"), F.sum(F.greatest(-F.col("v"), F.lit(0.0))).alias("neg")]
+
+
+def _told() -> list[Column]:
+    zero = F.col("abs_sum") <= EPS
+    return [*map(F.col, ("raw_sum", "abs_sum", "raw_min", "raw_max")), F.when(zero, 0.0).otherwise(F.col("neg") / F.col("abs_sum")).alias("negative_mass_ratio"), zero.alias("is_zero_sum")]
+
+
 def normalised(px: DataFrame, keys: list[str]) -> DataFrame:
     """One row per image: raw_sum, abs_sum, raw_min, raw_max, negative_mass_ratio, is_zero_sum."""
-    g = px.groupBy(*keys).agg(F.sum("v").alias("raw_sum"), F.sum(F.abs("v")).alias("abs_sum"), F.min("v").alias("raw_min"), F.max("v").alias("raw_max"), F.sum(F.greatest(-F.col("v"), F.lit(0.0))).alias("neg"))
-    zero = F.col("abs_sum") <= EPS
-    return g.select(*keys, "raw_sum", "abs_sum", "raw_min", "raw_max", F.when(zero, 0.0).otherwise(F.col("neg") / F.col("abs_sum")).alias("negative_mass_ratio"), zero.alias("is_zero_sum"))
+    return px.groupBy(*keys).agg(*_raw()).select(*keys, *_told())
 
 
 def statistics(px: DataFrame, keys: list[str], width: int, height: int, target: float = 0.5) -> DataFrame:
-    """One row per image with all spatial statistics of its absolute mass.
+    """One row per image with all spatial statistics of its absolute mass, and what ``normalised`` tells, in one aggregation.
 
     Masses of bands and centred squares, centroid (the centre if there is no mass) and its
     offset in pixels and normalised, the first peak of the raw map and its
@@ -60,6 +69,7 @@ def statistics(px: DataFrame, keys: list[str], width: int, height: int, target:
     band = lambda i, lo, hi: F.sum(F.when((F.col("d") <= hi) & ((F.col("d") > lo) if i else F.lit(True)), F.col("a")).otherwise(0.0))
     inside = lambda s: F.sum(F.when((F.abs(F.col("x") - cx) <= width * s / 2) & (F.abs(F.col("y") - cy) <= height * s / 2), F.col("a")).otherwise(0.0))
     base = m.groupBy(*keys).agg(
+        *_raw(), F.collect_list(F.struct("kr", "ks", "a")).alias("p"),
         F.sum("a").alias("mass"), F.sum(F.col("a") * F.col("x")).alias("mx"), F.sum(F.col("a") * F.col("y")).alias("my"),
         F.min(F.struct((-F.col("v")).alias("n"), "pos", "x", "y")).alias("peak"),
         *[band(i, lo, hi).alias(f"band_{i}") for i, (lo, hi) in enumerate(BANDS)], *[inside(a**0.5).alias(f"square_{n}") for n, a in AREAS.items()],
@@ -74,21 +84,20 @@ def statistics(px: DataFrame, keys: list[str], width: int, height: int, target:
         *keys, *[part(f"band_{i}").alias(f"radial_profile_{i}") for i in range(len(BANDS))], *[part(f"square_{n}").alias(f"mass_center_{n}_square") for n in AREAS],
         px_x.alias("centroid_x"), px_y.alias("centroid_y"), away(px_x, px_y).alias("centroid_offset_px"),
         F.col("peak.x").alias("peak_x"), F.col("peak.y").alias("peak_y"), away(F.col("peak.x"), F.col("peak.y")).alias("peak_offset_px"),
+        _half("kr", target).alias("radius_for_50_mass_radial"), _half("ks", target).alias("radius_for_50_mass_square"), *_told(),
     )
     out = out.withColumn("centroid_offset_norm", F.least(F.greatest("centroid_offset_px", F.lit(least)) / far, F.lit(1.0)) if far else F.lit(0.0))
     out = out.withColumn("peak_offset_norm", F.col("peak_offset_px") / far if far else F.lit(0.0))
-    for kind in ("kr", "ks"):
-        out = out.join(_half(m, keys, kind, target), keys)
     return out.withColumn("radius_50_gap", F.col("radius_for_50_mass_square") - F.col("radius_for_50_mass_radial"))
 
 
-def _half(m: DataFrame, keys: list[str], kind: str, target: float) -> DataFrame:
-    name = "radius_for_50_mass_radial" if kind == "kr" else "radius_for_50_mass_square"
-    b = m.groupBy(*keys, F.col(kind).alias("k")).agg(F.sum("a").alias("a"))
-    w = Window.partitionBy(*keys)
-    b = b.withColumn("run", F.sum("a").over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("a").over(w))
-    hit = F.min(F.when(F.try_divide("run", "all") >= target - 1e-12, F.col("k")))
-    return b.groupBy(*keys).agg(F.when(F.max("all") <= EPS, 0.0).otherwise(F.coalesce(F.least(hit / float(STEPS), F.lit(1.0)), F.lit(1.0))).alias(name))
+def _half(kind: str, target: float) -> Column:
+    """The bucket at which the mass of an image's pixels, summed in the order of their buckets, reaches the target."""
+    ordered = F.array_sort(F.transform("p", lambda x: F.struct(x[kind].alias("k"), x.a.alias("a"))))
+    zero = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("k"))
+    add = lambda s, x: F.struct((s.run + x.a).alias("run"), F.coalesce(s.k, F.when((s.run + x.a) / F.col("mass") >= target - 1e-12, x.k)).alias("k"))
+    hit = F.aggregate(ordered, zero, add, lambda s: s.k)
+    return F.when(F.col("mass") <= EPS, 0.0).otherwise(F.coalesce(F.least(hit / float(STEPS), F.lit(1.0)), F.lit(1.0)))
 
 
 def summarised(stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,19 +150,38 @@ def channels(a: Column, n: int, size: int, kind: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
 
 
+def _weights(size: int, to: int) -> np.ndarray:
+    """Matrix (to x size) of the bilinear weights of one axis: pixel centres, edges repeated."""
+    out = np.zeros((to, size))
+    for i in range(to):
+        at = max((i + 0.5) * size / to - 0.5, 0.0)
+        a = min(int(at), size - 1)
+        b, f = min(a + 1, size - 1), at - a
+        out[i, a] += 1 - f
+        out[i, b] += f
+    return out
+
+
 def bilinear(a: Column, w: int, h: int, w2: int, h2: int) -> Column:
-    """Row-major array resized by bilinear weights between pixel centres, edges repeated."""
-
-    def one(i: Column) -> Column:
-        sx = F.greatest((i % w2 + 0.5) * (w / w2) - 0.5, F.lit(0.0))
-        sy = F.greatest((F.floor(i / w2) + 0.5) * (h / h2) - 0.5, F.lit(0.0))
-        x0, y0 = F.least(F.floor(sx), F.lit(w - 1)).cast("int"), F.least(F.floor(sy), F.lit(h - 1)).cast("int")
-        x1, y1 = F.least(x0 + 1, F.lit(w - 1)), F.least(y0 + 1, F.lit(h - 1))
-        fx, fy = sx - x0, sy - y0
-        at = lambda x, y: F.element_at(a, y * w + x + 1)
-        return (at(x0, y0) * (1 - fx) + at(x1, y0) * fx) * (1 - fy) + (at(x0, y1) * (1 - fx) + at(x1, y1) * fx) * fy
-
-    return F.transform(F.sequence(F.lit(0), F.lit(w2 * h2 - 1)), one)
+    """Row-major array resized by bilinear weights between pixel centres, edges repeated; null for null and for another size.
+
+    The weights depend on the sizes alone, so a batch of arrays is two products with the
+    small matrices of its axes.
+    """
+    across, down = _weights(w, w2), _weights(h, h2)
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        fits = [v is not None and len(v) == w * h for v in values]
+        out = pd.Series([None] * len(values), dtype=object)
+        if any(fits):
+            x = np.stack([np.asarray(v, dtype=float) for v, ok in zip(values, fits, strict=True) if ok]).reshape(-1, h, w)
+            made = (down @ (x @ across.T)).reshape(len(x), h2 * w2)
+            for i, row in zip(np.flatnonzero(fits), made, strict=True):
+                out.iat[i] = row
+        return out
+
+    return run(a)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -32,7 +32,7 @@ def r6(c, digits: int = 6):
 
 
 # Order priorities as surveyed damage, as text so that the SQL has the same.
-PRIORITY_CLASSES = {"5-LOW": "no-damage", "3-MEDIUM": "minor", "2-HIGH": "major", "1-URGENT": "destroyed"}
+PRIORITY_CLASSES = {"5-LOW": "no-damage", "3-MEDIUM": "minor-damage", "2-HIGH": "major-damage", "1-URGENT": "destroyed"}
 WEIGHTS = ("l_quantity", "l_discount * 400", "l_tax * 400", "51 - l_quantity", "CAST(l_partkey % 50 AS DOUBLE)")
 
 
@@ -57,12 +57,12 @@ q AS (SELECT *, w0 + w1 + w2 + w3 + w4 AS t FROM w),
 p AS (SELECT mode, seed, asset_id, o_orderpriority, w0 / t AS p1, w1 / t AS p2, w2 / t AS p3, w3 / t AS p4, w4 / t AS p5 FROM q),
 m AS (SELECT *, greatest(p1, p2, p3, p4, p5) AS top, p1 * 1.0::DOUBLE + p2 * 2.0::DOUBLE + p3 * 3.0::DOUBLE + p4 * 4.0::DOUBLE + p5 * 5.0::DOUBLE AS s FROM p),
 runs AS (SELECT mode, seed, asset_id, CASE WHEN top > 0.5 THEN 'argmax' ELSE 'ordinal' END AS branch,
-   CASE o_orderpriority WHEN '5-LOW' THEN 'no-damage' WHEN '3-MEDIUM' THEN 'minor' WHEN '2-HIGH' THEN 'major' WHEN '1-URGENT' THEN 'destroyed' END AS true_class,
-   CASE WHEN top > 0.5 THEN CASE WHEN p1 = top THEN 'no-damage' WHEN p2 = top THEN 'minor' WHEN p3 = top THEN 'minor' WHEN p4 = top THEN 'major' ELSE 'destroyed' END
-   ELSE CASE WHEN round_even(s, 0) <= 1 THEN 'no-damage' WHEN round_even(s, 0) = 2 THEN 'minor' WHEN round_even(s, 0) = 3 THEN 'major' ELSE 'destroyed' END END AS pred_class
+   CASE o_orderpriority WHEN '5-LOW' THEN 'no-damage' WHEN '3-MEDIUM' THEN 'minor-damage' WHEN '2-HIGH' THEN 'major-damage' WHEN '1-URGENT' THEN 'destroyed' END AS true_class,
+   CASE WHEN top > 0.5 THEN CASE WHEN p1 = top THEN 'no-damage' WHEN p2 = top THEN 'minor-damage' WHEN p3 = top THEN 'minor-damage' WHEN p4 = top THEN 'major-damage' ELSE 'destroyed' END
+   ELSE CASE WHEN round_even(s, 0) <= 1 THEN 'no-damage' WHEN round_even(s, 0) = 2 THEN 'minor-damage' WHEN round_even(s, 0) = 3 THEN 'major-damage' ELSE 'destroyed' END END AS pred_class
   FROM m)
 """
-CLASSES_SQL = "classes AS (SELECT unnest(['no-damage', 'minor', 'major', 'destroyed']) AS c)"
+CLASSES_SQL = "classes AS (SELECT unnest(['no-damage', 'minor-damage', 'major-damage', 'destroyed']) AS c)"
 
 PARTS_SQL = """
 parts AS (SELECT p_partkey, p_brand, p_type, p_size, p_retailprice, p_size % 12 + 1 AS h,
@@ -81,11 +81,6 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """Every fifth customer as a planar point, as POINTS_SQL has them."""
-    return all_points(spark, d).where("pid % 5 = 0")
-
-
-def all_points(spark: SparkSession, d: str) -> DataFrame:
     """Every customer as a planar point."""
     k = F.col("c_custkey")
     return table(spark, d, "customer").select(k.alias("pid"), "c_nationkey", ((k * 7919) % 1100).cast("double").alias("x"), ((k * 104729) % 1100).cast("double").alias("y"))
@@ -97,7 +92,7 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(k.alias("sid"), ((k * 6971 + 13) % 1000).cast("double").alias("x"), ((k * 15485) % 1000).cast("double").alias("y"))
 
 
-POINTS_SQL = "points AS (SELECT c_custkey AS pid, c_nationkey, ((c_custkey * 7919) % 1100)::DOUBLE AS x, ((c_custkey * 104729) % 1100)::DOUBLE AS y FROM customer WHERE c_custkey % 5 = 0)"
+POINTS_SQL = "points AS (SELECT c_custkey AS pid, c_nationkey, ((c_custkey * 7919) % 1100)::DOUBLE AS x, ((c_custkey * 104729) % 1100)::DOUBLE AS y FROM customer)"
 SITES_SQL = "sites AS (SELECT s_suppkey AS sid, ((s_suppkey * 6971 + 13) % 1000)::DOUBLE AS x, ((s_suppkey * 15485) % 1000)::DOUBLE AS y FROM supplier)"
 HEAT_SQL = """
 heat AS (SELECT vec_id AS image_id, label AS method, (i - 1)::INT AS pos, ((i - 1) % 8)::INT AS x, ((i - 1) // 8)::INT AS y, embedding[i]::DOUBLE AS v

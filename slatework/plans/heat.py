@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatework.operators import heatmaps as H
@@ -87,8 +87,7 @@ ALL_STATS = [*RINGS, "mass_center_25_square", "mass_center_50_square", "centroid
 
 @query(_pick(*ALL_STATS, "negative_mass_ratio"))
 def heatmap_stats(spark: SparkSession, d: str) -> DataFrame:
-    px = _pixels(spark, d)
-    s = H.statistics(px, KEYS, 8, 8).join(H.normalised(px, KEYS), KEYS)
+    s = _stats(spark, d)
     return s.select(*KEYS, *[r6(c).alias(c) for c in [*ALL_STATS, "negative_mass_ratio"]])
 
 
@@ -100,8 +99,7 @@ _THREE = ["radius_50_gap", "centroid_offset_norm", "peak_offset_norm"]
        + ", ".join(f"round(quantile_cont({c}, 0.5), 6) AS median_{c}, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr_{c}" for c in _FOUR) + ", "
        + ", ".join(f"round(quantile_cont({c}, 0.5), 6) AS median_{c}" for c in _THREE) + ", round(avg((mass_center_25_square > 0.5)::INT), 6) AS fraction_center25_over_50pct FROM stats GROUP BY method")
 def heatmap_summary(spark: SparkSession, d: str) -> DataFrame:
-    px = _pixels(spark, d)
-    s = H.summarised(H.statistics(px, KEYS, 8, 8).join(H.normalised(px, KEYS), KEYS), ["method"])
+    s = H.summarised(_stats(spark, d), ["method"])
     return s.select("method", "num_images", "zero_sum_images", *[r6(c).alias(c) for c in s.columns if c not in ("method", "num_images", "zero_sum_images")])
 
 
@@ -149,10 +147,10 @@ def channel_reduce(spark: SparkSession, d: str) -> DataFrame:
     return z.select("image_id", "pos", r6("z.mean").alias("mean"), r6("z.abs_sum").alias("abs_sum"), r6("z.positive").alias("positive"))
 
 
-@query(f"WITH {HEAT_SQL} SELECT image_id, ((pos // 4 - 1) % 3)::INT AS x, ((pos // 4 - 1) // 3)::INT AS y, round(avg(v), 6) AS v FROM heat WHERE pos BETWEEN 4 AND 39 GROUP BY image_id, pos // 4")
+@query(f"WITH {HEAT_SQL} SELECT image_id, ((pos // 4 - 1) % 3)::INT AS x, ((pos // 4 - 1) // 3)::INT AS y, round(avg(v), 6) AS v FROM heat WHERE pos >= 4 GROUP BY image_id, pos // 4")
 def token_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Ten tokens of four channels: means over the channels, without the class token, on a 3 x 3 grid."""
-    tokens = F.slice(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda t: F.aggregate(F.slice("a", t * 4 + 1, F.lit(4)), F.lit(0.0), lambda s, v: s + v) / 4), F.lit(2), F.lit(9))
+    """Sixteen tokens of four channels: means over the channels, without the class token, on a 3 x 5 grid."""
+    tokens = F.transform(F.sequence(F.lit(1), F.lit(15)), lambda t: F.aggregate(F.slice("a", t * 4 + 1, F.lit(4)), F.lit(0.0), lambda s, v: s + v) / 4)
     return _arrays(spark, d).select("image_id", F.posexplode(tokens).alias("p", "v")).select("image_id", (F.col("p") % 3).alias("x"), F.floor(F.col("p") / 3).cast("int").alias("y"), r6("v").alias("v"))
 
 
@@ -166,10 +164,10 @@ def mask_weighted_average(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("method", "pos").agg(r6(F.sum(F.col("s") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1e-12))).alias("v"))
 
 
-@query(f"""WITH {HEAT_SQL}, g AS (SELECT i::INT AS i, greatest((i % 16 + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE, 0) AS sx, greatest((i // 16 + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE, 0) AS sy FROM range(256) AS t(i)),
-q AS (SELECT i, sx, sy, least(floor(sx), 7)::INT AS x0, least(floor(sy), 7)::INT AS y0 FROM g), k AS (SELECT *, least(x0 + 1, 7) AS x1, least(y0 + 1, 7) AS y1, sx - x0 AS fx, sy - y0 AS fy FROM q)
-SELECT a.image_id, k.i AS pos, round((a.v * (1 - fx) + b.v * fx) * (1 - fy) + (c.v * (1 - fx) + e.v * fx) * fy, 6) AS v FROM k JOIN heat a ON a.x = x0 AND a.y = y0 JOIN heat b ON b.x = x1 AND b.y = y0 AND b.image_id = a.image_id
- JOIN heat c ON c.x = x0 AND c.y = y1 AND c.image_id = a.image_id JOIN heat e ON e.x = x1 AND e.y = y1 AND e.image_id = a.image_id""")
+@query("""WITH g AS (SELECT i::INT AS i, greatest((i % 16 + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE, 0) AS sx, greatest((i // 16 + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE, 0) AS sy FROM range(256) AS t(i)),
+q AS (SELECT i, sx, sy, least(floor(sx), 7)::INT AS x0, least(floor(sy), 7)::INT AS y0 FROM g), k AS (SELECT i, x0, y0, least(x0 + 1, 7) AS x1, least(y0 + 1, 7) AS y1, sx - x0 AS fx, sy - y0 AS fy FROM q)
+SELECT vec_id AS image_id, i AS pos, round((embedding[y0 * 8 + x0 + 1]::DOUBLE * (1 - fx) + embedding[y0 * 8 + x1 + 1]::DOUBLE * fx) * (1 - fy) + (embedding[y1 * 8 + x0 + 1]::DOUBLE * (1 - fx) + embedding[y1 * 8 + x1 + 1]::DOUBLE * fx) * fy, 6) AS v
+FROM embeddings CROSS JOIN k""")
 def bilinear_upsample(spark: SparkSession, d: str) -> DataFrame:
     return _out(_arrays(spark, d).withColumn("r", H.bilinear(F.col("a"), 8, 8, 16, 16)))
 
@@ -182,17 +180,20 @@ def row_normalise_matrix(spark: SparkSession, d: str) -> DataFrame:
     return _out(_arrays(spark, d).withColumn("r", H.row_normalised(F.col("a"), 8)))
 
 
-@query(f"""WITH {MATRIX_SQL}, r AS (SELECT *, dense_rank() OVER (PARTITION BY method ORDER BY image_id) AS k FROM n), a AS (SELECT * FROM r WHERE k = 1), b AS (SELECT * FROM r WHERE k = 2), c AS (SELECT * FROM r WHERE k = 3),
-ab AS (SELECT a.method, b.y, a.x, sum(b.v * a.v) AS v FROM b JOIN a ON a.method = b.method AND b.x = a.y GROUP BY ALL), abc AS (SELECT ab.method, c.y, ab.x, sum(c.v * ab.v) AS v FROM c JOIN ab ON ab.method = c.method AND c.x = ab.y GROUP BY ALL)
-SELECT method, (x - 1)::INT AS patch, round(v, 6) AS v FROM abc WHERE y = 0 AND x > 0""")
+@query(f"""WITH {MATRIX_SQL}, z AS (SELECT j, k, p // 8 AS y, p % 8 AS x FROM (SELECT DISTINCT image_id // 3 AS j FROM n) CROSS JOIN range(3) AS a(k) CROSS JOIN range(64) AS b(p)),
+l AS (SELECT z.j, z.k, z.y, z.x, coalesce(n.v, (z.x = z.y)::INT::DOUBLE) AS v FROM z LEFT JOIN n ON n.image_id = z.j * 3 + z.k AND n.x = z.x AND n.y = z.y),
+ab AS (SELECT a.j, b.y, a.x, sum(b.v * a.v) AS v FROM l b JOIN l a ON a.j = b.j AND b.x = a.y WHERE a.k = 0 AND b.k = 1 GROUP BY ALL), abc AS (SELECT ab.j, c.y, ab.x, sum(c.v * ab.v) AS v FROM l c JOIN ab ON ab.j = c.j AND c.x = ab.y WHERE c.k = 2 GROUP BY ALL)
+SELECT j AS chain, (x - 1)::INT AS patch, round(v, 6) AS v FROM abc WHERE y = 0 AND x > 0""")
 def matrix_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Rollout over three layers: the product of their normalised matrices, class-token row without itself."""
-    a = _arrays(spark, d).select("method", "image_id", H.row_normalised(F.col("a"), 8).alias("m"))
-    w = Window.partitionBy("method").orderBy("image_id")
-    # The first three images of each method stand for its layers.
-    first = a.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("method").agg(*[F.max(F.when(F.col("k") == i, F.col("m"))).alias(f"m{i}") for i in (1, 2, 3)])
-    chain = first.withColumn("p", H.matrix_product(F.col("m2"), F.col("m1"), 8)).withColumn("p", H.matrix_product(F.col("m3"), F.col("p"), 8))
-    return chain.select("method", F.posexplode(F.slice("p", F.lit(2), F.lit(7))).alias("patch", "v")).select("method", "patch", r6("v").alias("v"))
+    """Rollout over three layers: the product of their normalised matrices, class-token row without itself.
+
+    Every three images in order of their ids stand for the layers of a chain; a layer that the last chain lacks is the identity.
+    """
+    a = _arrays(spark, d).select(F.floor(F.col("image_id") / 3).alias("chain"), (F.col("image_id") % 3).alias("k"), H.row_normalised(F.col("a"), 8).alias("m"))
+    same = F.array(*[F.lit(1.0 if i % 9 == 0 else 0.0) for i in range(64)])
+    layers = a.groupBy("chain").agg(*[F.coalesce(F.max(F.when(F.col("k") == i, F.col("m"))), same).alias(f"m{i}") for i in range(3)])
+    product = layers.withColumn("p", H.matrix_product(F.col("m1"), F.col("m0"), 8)).withColumn("p", H.matrix_product(F.col("m2"), F.col("p"), 8))
+    return product.select("chain", F.posexplode(F.slice("p", F.lit(2), F.lit(7))).alias("patch", "v")).select("chain", "patch", r6("v").alias("v"))
 
 
 SIM_SQL = f"""{HEAT_SQL}, p AS (SELECT method AS class, pos, avg(v) AS v FROM heat GROUP BY ALL), pn AS (SELECT class, sqrt(sum(v * v)) AS n FROM p GROUP BY 1), hn AS (SELECT image_id, sqrt(sum(v * v)) AS n FROM heat GROUP BY 1),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatework.functions import names
-from slatework.functions.vocab import LEVEL_CLASSES
+from slatework.functions.vocab import LEVEL_CLASSES, SEVERITY
 from slatework.operators import jobs, tables
 from slatework.plans.base import query, r6
 from slatework.session import small, table
@@ -21,7 +21,7 @@ def left_enrich(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "building_metadata").select("record_id", "filename").join(c, "filename", "left")
 
 
-LEVEL_SQL = "CASE lower(trim(DAMAGE_LEVEL)) WHEN 'slight' THEN 'minor' WHEN 'moderate' THEN 'minor' WHEN 'damaged' THEN 'major' WHEN 'extensive' THEN 'major' WHEN 'complete' THEN 'destroyed' END"
+LEVEL_SQL = "CASE lower(trim(DAMAGE_LEVEL)) WHEN 'slight' THEN 'minor-damage' WHEN 'moderate' THEN 'minor-damage' WHEN 'damaged' THEN 'major-damage' WHEN 'extensive' THEN 'major-damage' WHEN 'complete' THEN 'destroyed' END"
 
 
 @query(f"""WITH o AS (SELECT point_id, {LEVEL_SQL} AS c FROM impact_points WHERE LATITUDE IS NOT NULL)
@@ -34,13 +34,13 @@ def mapped_override(spark: SparkSession, d: str) -> DataFrame:
     return tables.keyed_update(base, survey, "point_id", "subtype").withColumnRenamed("updated", "overridden")
 
 
-SEVERITY_SQL = "CASE subtype WHEN 'destroyed' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 WHEN 'no-damage' THEN 3 ELSE 4 END"
+SEVERITY_SQL = "CASE WHEN subtype = 'destroyed' THEN 0 WHEN subtype IN ('major-damage', 'major') THEN 1 WHEN subtype IN ('minor-damage', 'minor') THEN 2 WHEN subtype = 'no-damage' THEN 3 ELSE 4 END"
 
 
 @query(f"SELECT uid, subtype, material_class FROM merged_buildings QUALIFY row_number() OVER (PARTITION BY uid ORDER BY {SEVERITY_SQL}, material_class NULLS FIRST, wkt NULLS FIRST) = 1")
 def dedupe_severest(spark: SparkSession, d: str) -> DataFrame:
     """One row per building, the most severe: by an explicit rank, nulls last."""
-    m = table(spark, d, "merged_buildings").withColumn("rank", tables.mapped(F.col("subtype"), {"destroyed": 0, "major": 1, "minor": 2, "no-damage": 3}, 4))
+    m = table(spark, d, "merged_buildings").withColumn("rank", tables.mapped(F.col("subtype"), SEVERITY, 4))
     return tables.first_values(m, ["uid"], ["rank", "material_class", "wkt"], ["subtype", "material_class"])
 
 

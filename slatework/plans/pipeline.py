@@ -50,5 +50,5 @@ def attribute_batch(images: DataFrame, done: DataFrame, methods: list[str] | str
     todo = jobs.actions(wanted, done.select("job_id", "status"), done.select("output")).where("action = 'run'").select("image_id", "method")
     maps = registry.attribute(images.join(todo.select("image_id").distinct(), "image_id", "left_semi"), chosen, width).join(todo, ["image_id", "method"], "left_semi")
     px = heatmaps.pixels(heatmaps.checked(maps, "heatmap", width, height), ["image_id", "method"], "heatmap", width)
-    stats = heatmaps.statistics(px, ["image_id", "method"], width, height).join(heatmaps.normalised(px, ["image_id", "method"]), ["image_id", "method"])
+    stats = heatmaps.statistics(px, ["image_id", "method"], width, height)
     return stats, heatmaps.summarised(stats, ["method"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slatework.functions import geo
 from slatework.functions.vocab import RESIDENTIAL_USES
 from slatework.operators import exposure, sampling, spatial
-from slatework.plans.base import PARTS_SQL, POINTS_SQL, SITES_SQL, all_points, parts, points, query, r6, sites
+from slatework.plans.base import PARTS_SQL, POINTS_SQL, SITES_SQL, parts, points, query, r6, sites
 from slatework.session import table
 
 HALF = 15.0
@@ -86,7 +86,7 @@ def point_in_box_left(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stable_assignment(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one assignment of all customers' points to squares; iterative, tested against brute force."""
-    return spatial.stable_pairs(_candidates(spark, d, all_points(spark, d)))
+    return spatial.stable_pairs(_candidates(spark, d, points(spark, d)))
 
 
 MATCH_SQL = f"""{PARTS_SQL}, q AS (SELECT p_partkey, p_type, split_part(mat_llrs, '/', 2) AS ld, h, p_partkey % 40 = 0 AND p_type <> 'SMALL' AS inlib FROM parts),

@@ -22,7 +22,7 @@ def arr(values):
 def test_hybrid_class(spark):
     assert one(spark, damage.hybrid_class(arr([0.6, 0.1, 0.1, 0.1, 0.1]))) == "no-damage"
     assert one(spark, damage.hybrid_class(arr([0.0, 0.0, 0.0, 0.5, 0.5]))) == "destroyed"  # rank 4.5, half to even
-    assert one(spark, damage.hybrid_class(arr([0.25, 0.25, 0.25, 0.25, 0.0]))) == "minor"  # rank 2.5 to even
+    assert one(spark, damage.hybrid_class(arr([0.25, 0.25, 0.25, 0.25, 0.0]))) == "minor-damage"  # rank 2.5 to even
     assert one(spark, damage.hybrid_class(F.lit(None).cast("array<double>"))) is None
 
 
@@ -32,7 +32,7 @@ def test_one_run_has_no_deviation_and_full_bounds(spark):
 
 
 def test_identity_confusion_and_empty_rows(spark):
-    df = spark.createDataFrame([("a", c, c) for c in damage.DAMAGE_CLASSES[:3]] + [("a", None, "minor")], "k string, t string, p string")
+    df = spark.createDataFrame([("a", c, c) for c in damage.DAMAGE_CLASSES[:3]] + [("a", None, "minor-damage")], "k string, t string, p string")
     got = {(r.true_class, r.pred_class): r.share for r in damage.row_normalised(damage.confusion_counts(df, ["k"], "t", "p"), ["k"]).collect()}
     assert len(got) == 16
     assert all(v == (1.0 if a == b and a != "destroyed" else 0.0) for (a, b), v in got.items())

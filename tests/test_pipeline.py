@@ -19,9 +19,9 @@ def test_dataset(spark):
 def test_damage(spark):
     p = [1.0, 0.0, 0.0, 0.0, 0.0]
     res = spark.createDataFrame([("m", s, u, p) for s in (1, 2) for u in ("x", "y")], "mode string, seed int, uid string, p array<double>")
-    pct, cells = pipeline.damage_analysis(res, spark.createDataFrame([("x", "no-damage"), ("y", "minor")], "uid string, subtype string"))
-    assert {r.pred_class: r["mean"] for r in pct.collect()} == {"no-damage": 100.0, "minor": 0.0, "major": 0.0, "destroyed": 0.0}
-    assert {r["mean"] for r in cells.collect() if r.pred_class == "no-damage" and r.true_class in ("no-damage", "minor")} == {1.0}
+    pct, cells = pipeline.damage_analysis(res, spark.createDataFrame([("x", "no-damage"), ("y", "minor-damage")], "uid string, subtype string"))
+    assert {r.pred_class: r["mean"] for r in pct.collect()} == {"no-damage": 100.0, "minor-damage": 0.0, "major-damage": 0.0, "destroyed": 0.0}
+    assert {r["mean"] for r in cells.collect() if r.pred_class == "no-damage" and r.true_class in ("no-damage", "minor-damage")} == {1.0}
 
 
 def test_attribution_resumes(spark):

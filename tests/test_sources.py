@@ -49,7 +49,7 @@ def test_curves_blocks_grids_labels(spark, tmp_path):
     assert [tuple(r) for r in files.read_block(spark, put(tmp_path / "b.txt", "  1  2\n\n3\n"), ["a", "b"]).collect()] == [(1.0, 2.0), (3.0, None)]
     g = put(tmp_path / "g.xml", '<s><grid_field index="1" name="LON"/><grid_field index="2" name="PGA"/><grid_data>\n1 10\n2 20\n</grid_data></s>')
     assert [r.fields for r in files.read_grid_xml(spark, g).orderBy("line").collect()] == [{"LON": 1.0, "PGA": 10.0}, {"LON": 2.0, "PGA": 20.0}]
-    f = '{"features":{"lng_lat":[{"wkt":"W%d","properties":{"feature_type":"%s","uid":"u%d","subtype":"minor"}}]}}'
+    f = '{"features":{"lng_lat":[{"wkt":"W%d","properties":{"feature_type":"%s","uid":"u%d","subtype":"minor-damage"}}]}}'
     d = tmp_path / "labels"
     d.mkdir()
     put(d / "1.json", f % (1, "building", 1))
