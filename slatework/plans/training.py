@@ -102,24 +102,30 @@ def p2_filled(spark: SparkSession, d: str) -> DataFrame:
     gaps = c.where(" or ".join(f"{f}_gap" for f in FILLED))
     whole = c.where(" and ".join(f"not {f}_gap" for f in FILLED)).select("*", *[F.lit(None).cast(t).alias(f"d_{v}") for v, t in zip(FILLED.values(), ("double", "double", "double", "string"), strict=True)])
     c = gaps.join(donors, "building", "left").select(*whole.columns).unionByName(whole)
-    for f, v in FILLED.items():
-        told = F.col(f"{f}_gap") & F.col(f"d_{v}").isNotNull()
-        c = c.withColumn(f"{f}_told", told).withColumn(v, F.when(told, F.col(f"d_{v}")).otherwise(F.col(v)))
+    told = {f: F.col(f"{f}_gap") & F.col(f"d_{v}").isNotNull() for f, v in FILLED.items()}
+    c = c.select(
+        "record_id", "captured_at", "place", "material", "typed_shape", *[f"{f}_gap" for f in FILLED], *[told[f].alias(f"{f}_told") for f in FILLED],
+        *[F.when(told[f], F.col(f"d_{v}")).otherwise(F.col(v)).alias(v) for f, v in FILLED.items()],
+    )
+    c = written(c, "impute-told")
     plan = imputation.Plan(("height_m", "stories_total", "area"), "shape", tuple(n for n, _ in names), ("material", "place"))
     keep = ("typed_shape", *[f"{f}_{x}" for f in FILLED for x in ("gap", "told")])
     out = imputation.chained(c, plan, "record_id", "captured_at", keep)
-    how = lambda f: F.when(F.col(f"{f}_told"), "building").when(F.col(f"{f}_gap"), "model").alias(f"{f}_how")
+    # Marked by the operator that filled it: a donor of the same building, or the chain.
+    how = lambda f: F.when(F.col(f"{f}_told"), "building").when(F.col(f"{f}_gap") & F.col(f"{FILLED[f]}_filled"), "model").alias(f"{f}_how")
+    storeys = F.col("stories_total")
     return out.select(
-        F.col("id").alias("record_id"), F.round("height_m", 2).alias("height"), how("height"), F.greatest(F.lit(1.0), F.round(F.col("stories_total") * 2) / 2).alias("numstories"), how("numstories"),
+        F.col("id").alias("record_id"), F.round("height_m", 2).alias("height"), how("height"),
+        F.when(storeys.isNotNull() & F.col("numstories_gap"), F.greatest(F.lit(1.0), F.round(storeys))).otherwise(F.round(storeys, 3)).alias("numstories"), how("numstories"),
         F.round("area", 2).alias("fpArea"), how("fpArea"), F.when(F.col("roofshape_gap"), F.col("shape")).otherwise(F.col("typed_shape")).alias("roofshape"), how("roofshape"),
     )
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The values that were missing, as the filling operator marked them."""
+    """The values that were missing: those that the filling operator marked and gave a value."""
     out = p2_filled(spark, d)
-    marks = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_how").alias("how"), F.col(f).cast("string").alias("value")) for f in FILLED])
-    return out.select("record_id", F.explode(F.filter(marks, lambda m: m.how.isNotNull() & (m.value.isNotNull() | (m.how == "model")))).alias("m")).select("record_id", "m.field")
+    marks = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f"{f}_how").isNotNull() & F.col(f).isNotNull()).alias("filled")) for f in FILLED])
+    return out.select("record_id", F.inline(F.filter(marks, lambda m: m.filled))).select("record_id", "field")
 
 
 QUERIES |= {"p2_found": p2_found, "p2_filled": p2_filled}
