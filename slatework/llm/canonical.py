@@ -41,7 +41,12 @@ def allowed(length: int) -> int:
 
 
 class Trie:
-    """All spellings of all entries. ``search`` gives every entry within the allowed distance."""
+    """All spellings of all entries. ``search`` gives every entry within the allowed distance.
+
+    The automaton's states are shared by all values: a state is the band of the edit
+    table around the diagonal, and a step depends only on where in the band the
+    value has the letter. Steps are worked out once and looked up afterwards.
+    """
 
     def __init__(self, paths: list[tuple[str, int]]):
         self.root: dict = {}
@@ -52,73 +57,68 @@ class Trie:
                 node = node.setdefault(c, {})
             node.setdefault("", set()).add(entry)
             self.size += 1
-
-    def exact(self, value: str) -> set[int]:
-        """Entries with this very spelling."""
-        node = self.root
-        for c in value:
-            node = node.get(c)
-            if node is None:
-                return set()
-        return node.get("", set())
+        self.automata: dict[int, tuple[list, dict, dict]] = {}  # per limit: states, steps, numbers of states
+
+    def _step(self, k: int, state: tuple, chi: int) -> tuple | None:
+        """The state after a letter that the value has at the places ``chi`` of the band; None if no match can follow."""
+        row, above, before = state
+        far, width = k + 1, 2 * k + 1
+        new = [far] * width
+        for t in range(width):
+            d = row[t] + (not chi >> t & 1)
+            if t + 1 < width and row[t + 1] + 1 < d:
+                d = row[t + 1] + 1
+            if t and new[t - 1] + 1 < d:
+                d = new[t - 1] + 1
+            if above is not None and 0 < t < width - 1 and chi >> (t - 1) & 1 and before >> (t + 1) & 1 and above[t] + 1 < d:
+                d = above[t] + 1
+            new[t] = min(d, far)
+        if min(new) > k and min(row) >= k:
+            return None
+        return tuple(new), row, chi
 
     def search(self, value: str, most: int | None = None) -> dict[int, int]:
         """Entry -> least distance, for all within ``most`` edits (by length if not given).
 
-        An edit inserts, deletes or replaces a letter or swaps two neighbours. The
-        automaton's state is the band of the edit table that can still reach
-        ``most``; a branch ends when the band is empty.
+        An edit inserts, deletes or replaces a letter or swaps two neighbours. A
+        branch ends when the band is empty.
         """
         k = allowed(len(value)) if most is None else most
-        n, far = len(value), (k or 0) + 1
+        n, width = len(value), (1 << 2 * k + 1) - 1
+        if k not in self.automata:
+            first = (tuple([k + 1] * k + list(range(k + 1))), None, 0)
+            self.automata[k] = ([first], {}, {first: 0})
+        states, steps, known = self.automata[k]
+        places: dict[str, int] = {}
+        for i, c in enumerate(value):
+            places[c] = places.get(c, 0) | 1 << i
         found: dict[int, int] = {}
-        first = list(range(min(k, n) + 1)) + [far] * (n - min(k, n))
-        stack = [(self.root, 0, first, None, "")]
+        stack = [(self.root, 0, 0)]
         while stack:
-            node, depth, row, above, before = stack.pop()
-            if "" in node and abs(n - depth) <= k and row[n] <= k:
+            node, depth, state = stack.pop()
+            o = n - depth
+            if -k <= o <= k and "" in node and (d := states[state][0][o + k]) <= k:
                 for e in node[""]:
-                    if row[n] < found.get(e, far):
-                        found[e] = row[n]
-            low, high = max(1, depth + 1 - k), min(n, depth + 1 + k)
-            if low > n + 1:
+                    if d < found.get(e, k + 1):
+                        found[e] = d
+            if o < -k:
                 continue
+            shift = depth - k
             for c, child in node.items():
-                if c == "":
-                    continue
-                new = [far] * (n + 1)
-                if depth + 1 <= k:
-                    new[0] = depth + 1
-                least = new[0]
-                for j in range(low, high + 1):
-                    v = value[j - 1]
-                    d = row[j - 1] + (v != c)
-                    if row[j] + 1 < d:
-                        d = row[j] + 1
-                    if new[j - 1] + 1 < d:
-                        d = new[j - 1] + 1
-                    if above is not None and j > 1 and v == before and value[j - 2] == c and above[j - 2] + 1 < d:
-                        d = above[j - 2] + 1
-                    if d < far:
-                        new[j] = d
-                        if d < least:
-                            least = d
-                if least <= k or min(row) < k:
-                    stack.append((child, depth + 1, new, row, c))
+                if c:
+                    m = places.get(c, 0)
+                    chi = (m >> shift if shift > 0 else m << -shift) & width
+                    to = steps.get((state, chi), 0)
+                    if to == 0:
+                        nxt = self._step(k, states[state], chi)
+                        if nxt is not None and nxt not in known:
+                            known[nxt] = len(states)
+                            states.append(nxt)
+                        to = steps[state, chi] = None if nxt is None else known[nxt]
+                    if to is not None:
+                        stack.append((child, depth + 1, to))
         return found
 
-    def best(self, value: str) -> list[int]:
-        """The entries at the least distance, if any is within what the length allows; the limit is raised step by step."""
-        hit = self.exact(value)
-        if hit:
-            return sorted(hit)
-        for k in range(1, allowed(len(value)) + 1):
-            found = self.search(value, k)
-            if found:
-                least = min(found.values())
-                return sorted(e for e, d in found.items() if d == least)
-        return []
-
 
 def city_paths(entries: list[tuple[int, str, str]]) -> list[tuple[str, int]]:
     """Spellings of (id, "Name, Country", country): with, without and before the country, with it cut short, with the district."""
@@ -147,15 +147,18 @@ def roof_paths(entries: list[tuple[int, str, str | None]]) -> list[tuple[str, in
 
 
 def mapped_values(values: DataFrame, paths: list[tuple[str, int]], noise: str, places: dict[int, tuple[float, float]]) -> DataFrame:
-    """(value, refs) of distinct values: all entries at the least allowed distance with their places, none if there is no entry.
+    """(value, refs) of distinct values: all entries within the length-dependent distance, with distance and place; none if there is no entry.
 
-    The trie is built in each task from the spellings, which grow with the
-    reference list only; a list of more than MOST_SPELLINGS is refused.
+    A value is read as it is and without the words that tell no entries apart; the
+    least distance of an entry counts. The trie is built in each task from the spellings, which grow with the
+    reference list only; a list of more than MOST_SPELLINGS is refused. Values are dealt
+    to tasks by hash: a search costs far more than its bytes tell.
     """
     if len(paths) > MOST_SPELLINGS:
         raise ValueError(f"{len(paths)} spellings are too many for a trie in every task")
-    ship(values.sparkSession)
-    shared = values.sparkSession.sparkContext.broadcast((paths, places))
+    spark = values.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast((paths, places))
     drop = noise
 
     def run(batches):
@@ -165,24 +168,28 @@ def mapped_values(values: DataFrame, paths: list[tuple[str, int]], noise: str, p
             refs = []
             for v in pdf["value"]:
                 p = plain(v)
-                hit = trie.best(p) if p else []
-                if not hit and p:
-                    bare = " ".join(strip.sub(" ", p).split())
-                    hit = trie.best(bare) if bare and bare != p else []
-                refs.append([{"ref": e, "lat": at.get(e, (None, None))[0], "lon": at.get(e, (None, None))[1]} for e in hit])
+                bare = " ".join(strip.sub(" ", p).split())
+                hits = [trie.search(x) for x in dict.fromkeys((p, bare)) if x]
+                least = {e: min(h[e] for h in hits if e in h) for h in hits for e in h}
+                refs.append([{"ref": e, "edits": d, "lat": at.get(e, (None, None))[0], "lon": at.get(e, (None, None))[1]} for e, d in least.items()])
             yield pd.DataFrame({"value": pdf["value"], "refs": refs})
 
-    n = values.sparkSession.sparkContext.defaultParallelism
-    # Values come out of a distinct, so the exchange is by value already.
-    wide = max(n, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return values.select("value").where("value is not null").distinct().repartition(wide, "value").mapInPandas(run, "value string, refs array<struct<ref:long,lat:double,lon:double>>")
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # By another expression than the value: the exchange of the distinct would be taken for this one, and coalesced.
+    dealt = values.select("value").where("value is not null").distinct().repartition(wide, F.xxhash64("value"))
+    return dealt.mapInPandas(run, "value string, refs array<struct<ref:long,edits:int,lat:double,lon:double>>")
+
+
+#: Metres from an entry's place within which a row is taken to lie there.
+HOME_M = 100_000.0
 
 
 def to_reference(rows: DataFrame, reference: DataFrame, paths: list[tuple[str, int]], noise: str, ref_id: str, ref_name: str, places: dict[int, tuple[float, float]] | None = None) -> DataFrame:
     """(id, value, ref_id, exact) of rows (id, value, lat, lon): the entry meant, -1 if none.
 
-    A value that is an entry character for character is ``exact``. Of several
-    entries at the same distance the one nearest to the row's location is meant,
+    A value that is an entry character for character is ``exact``. Of the entries
+    within the allowed distance those at whose place the row lies go first (a slip may
+    lead to the name of another place), then the least distance, then the nearest place,
     without a location (of the row or the entries) the first by id. Null values give no row. Values are
     searched once each, however many rows hold them.
     """
@@ -194,16 +201,28 @@ def to_reference(rows: DataFrame, reference: DataFrame, paths: list[tuple[str, i
     found = rest.join(mapped_values(rest.select("value"), paths, noise, places or {}), "value", "left")
     here = geo.usable_location(F.col("lat"), F.col("lon"))
     away = lambda e: F.coalesce(F.when(here, geo.great_circle_m(F.col("lat"), F.col("lon"), e.lat, e.lon)), F.lit(1e12))
-    best = F.array_min(F.transform("refs", lambda e: F.struct(away(e).alias("d"), e.ref.alias("ref"))))["ref"]
+    weighed = F.array_min(F.transform("refs", lambda e: F.struct((away(e) > HOME_M).alias("far"), e.edits.alias("edits"), away(e).alias("d"), e.ref.alias("ref"))))["ref"]
+    best = F.when(F.size("refs") > 1, weighed).otherwise(F.try_element_at("refs", F.lit(1))["ref"])
     return hit.unionByName(found.select("id", "value", F.coalesce(best, F.lit(-1)).cast("long").alias("ref_id"), F.lit(False).alias("exact")))
 
 
-def cities(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    """Typed cities of (id, value, lat, lon) mapped to (city_id, city_name, country, latitude, longitude)."""
+def _city_list(reference: DataFrame) -> tuple[list[tuple[str, int]], dict[int, tuple[float, float]]]:
+    """Spellings and places of a reference list (city_id, city_name, country, latitude, longitude)."""
     named = whole_list(reference.where("city_name is not null"), MOST_SPELLINGS)  # a reference list
-    entries = [(r["city_id"], r["city_name"], r["country"]) for r in named]
     places = {r["city_id"]: (r["latitude"], r["longitude"]) for r in named if r["latitude"] is not None and r["longitude"] is not None}
-    return to_reference(rows.where(~text.is_blank(F.col("value"))), reference, city_paths(entries), CITY_NOISE, "city_id", "city_name", places)
+    return city_paths([(r["city_id"], r["city_name"], r["country"]) for r in named]), places
+
+
+def cities(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """Typed cities of (id, value, lat, lon) mapped to (city_id, city_name, country, latitude, longitude)."""
+    paths, places = _city_list(reference)
+    return to_reference(rows.where(~text.is_blank(F.col("value"))), reference, paths, CITY_NOISE, "city_id", "city_name", places)
+
+
+def candidates(values: DataFrame, reference: DataFrame) -> DataFrame:
+    """(value, refs) of distinct typed cities: all entries within the allowed distance."""
+    paths, places = _city_list(reference)
+    return mapped_values(values, paths, CITY_NOISE, places)
 
 
 def roofshapes(rows: DataFrame, reference: DataFrame) -> DataFrame:

@@ -74,6 +74,13 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).where("ref_id = -1").groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct typed city with all entries within the distance that its length allows, and their edits."""
+    values = table(spark, d, "building_metadata").select(F.col("city").alias("value")).unionByName(table(spark, d, "city_allow_list").select(F.col("City").alias("value")))
+    found = canonical.candidates(values.where(~text.is_blank(F.col("value"))), table(spark, d, "city_reference"))
+    return found.select("value", F.inline("refs")).select("value", F.col("ref").alias("city_id"), "edits")
+
+
 def _split(c):
     s = F.lower(text.bare(c))
     return F.when(s.isin("train", "val", "holdout"), s)
@@ -154,7 +161,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_form": p5_form,
+    "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p3_candidates": p3_candidates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_form": p5_form,
     "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_pieces": p10_pieces,
 }
