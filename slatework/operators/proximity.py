@@ -11,11 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatework.functions import geo
+from slatework.session import dealt, small
 
-#: A cell is hot when it holds more than this share of all points (and over HOT_LEAST);
-#: there are at most 1 / HOT_SHARE hot cells, which bounds the table of salts.
-HOT_SHARE = 1 / 5_000
-HOT_LEAST = 4_000
+#: Points of one cell that one task verifies against; fuller cells are dealt to several tasks, whatever the size of the table.
 SALT_ROWS = 4_000
 
 
@@ -24,18 +22,6 @@ def located(df: DataFrame, id_col: str, lat: str, lon: str) -> DataFrame:
     return df.where(geo.usable_location(F.col(lat), F.col(lon))).select(F.col(id_col).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
 
 
-def _salts(cells: DataFrame) -> DataFrame | None:
-    """(cell, salts) of the hot cells, at most 1/HOT_SHARE of them; None if there are none."""
-    counts = cells.groupBy("cell").count()
-    total = cells.count()
-    least = max(HOT_LEAST, int(total * HOT_SHARE))
-    hot = counts.where(F.col("count") > least).select("cell", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
-    rows = hot.collect()  # at most 1 / HOT_SHARE rows, by construction
-    if not rows:
-        return None
-    return cells.sparkSession.createDataFrame([(r.cell, r.salts) for r in rows], "cell long, salts int")
-
-
 def near_pairs(left: DataFrame, right: DataFrame | None, radius_m: float) -> DataFrame:
     """All pairs of (id, lat, lon) rows at most ``radius_m`` apart on the great circle.
 
@@ -48,13 +34,8 @@ def near_pairs(left: DataFrame, right: DataFrame | None, radius_m: float) -> Dat
     own = right is None
     home = (left if own else right).withColumn("cell", geo.home_cell(F.col("lat"), F.col("lon"), radius_m))
     probe = left.withColumn("cell", F.explode(geo.near_cells(F.col("lat"), F.col("lon"), radius_m)))
-    hot = _salts(home.select("cell"))
-    keys = ["cell"]
-    if hot is not None:
-        # The home side of a hot cell is dealt to salts, the probing side visits each of them.
-        home = home.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-        probe = probe.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
-        keys.append("salt")
+    # The home side of a full cell is dealt to salts, the probing side visits each of them.
+    probe, home, keys = dealt(probe, home, ["cell"], "id", SALT_ROWS)
     a = probe.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), *keys)
     b = home.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), *keys)
     pairs = a.join(b, keys)
@@ -88,11 +69,9 @@ def containing_regions(points: DataFrame, regions: DataFrame, id_col: str, wkt_c
 
     Even-odd rule over all rings: ground in a hole is outside. Points of no
     region, regions with unreadable WKT and null WKT give no row. Points that lie
-    in two overlapping regions give both. The regions are broadcast only if they
-    cover at most 20,000 cells; larger sets are joined by shuffle on the cell.
+    in two overlapping regions give both. The regions are broadcast only if the cells
+    they cover, with their edges, are few and small; larger sets are joined by shuffle on the cell.
     """
-    from slatework.session import small
-
     cells = small(region_cells(regions, id_col, wkt_col, cell_deg))
     at = lambda c: F.floor(c / cell_deg)
     p = points.withColumn("cell", at(F.col("lat")) * F.lit(1 << 32) + at(F.col("lon")))

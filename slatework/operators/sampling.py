@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatework.session import small, written
+
 
 def u(key: Column, seed: int) -> Column:
     """A uniform number in [0, 1) from an integer key and a seed, by integer arithmetic alone."""
@@ -34,6 +36,7 @@ def drawn(rows: DataFrame, dist: DataFrame, group: list[str], category: str, uni
 
     The distribution is a table of groups and categories; it is packed to one
     row per group, so a row of the left side meets one row and none is multiplied.
+    The packed table is broadcast if it is small, so that the rows aren't shuffled by a handful of groups.
     """
     c = cumulative(dist, group, category)
     packed = c.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.sort_array(F.collect_list(F.struct("cdf_to", F.col(category).alias("c")))).alias("_cdf"))
@@ -41,7 +44,7 @@ def drawn(rows: DataFrame, dist: DataFrame, group: list[str], category: str, uni
     for g in group:
         e = F.col(g).eqNullSafe(F.col(f"_g_{g}"))
         on = e if on is None else on & e
-    out = rows.join(packed, on, "left")
+    out = rows.join(small(written(packed, "distribution")), on, "left")
     pick = F.try_element_at(F.filter("_cdf", lambda x: x.cdf_to > F.col(uniform)), F.lit(1))["c"]
     return out.withColumn(category, pick).drop("_cdf", *[f"_g_{g}" for g in group])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatework.functions.expr import let
-from slatework.session import written
+from slatework.session import dropped, scratch, written
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -52,15 +52,20 @@ def nearest(points: DataFrame, sites: DataFrame, first_radius: float | None = No
     wide = max(box["x1"], reach["x1"]) - min(box["x0"], reach["x0"]) + max(box["y1"], reach["y1"]) - min(box["y0"], reach["y0"])
     area = max(box["x1"] - box["x0"], 1e-9) * max(box["y1"] - box["y0"], 1e-9)
     radius = first_radius or max(2 * math.sqrt(area / box["n"]), wide / 1e6, 1e-9)
-    left, out = points.select("pid", "x", "y").where("x is not null and y is not null"), None
-    while True:
+    left, path = points.select("pid", "x", "y").where("x is not null and y is not null"), scratch(points.sparkSession, "nearest-found")
+    for n in range(64):
         found = written(nearest_within(left, sites, radius), "nearest")
         done = found.where("sid is not null").select("pid", "sid", "distance")
-        out = done if out is None else out.unionByName(done)
-        left = found.where("sid is null").select("pid", "x", "y")
-        if radius > 2 * wide + 1 or left.isEmpty():
-            return out
+        done.write.parquet(f"{path}/{n}")
+        before, left = left, found.where("sid is null").select("pid", "x", "y")
+        last = radius > 2 * wide + 1 or left.isEmpty()
+        if not last:  # the points that go on are kept apart, and this round's files go
+            left = written(left, "nearest-left")
+        dropped(found, before)
+        if last:
+            break
         radius *= 2
+    return points.sparkSession.read.schema(done.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def box_join(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
@@ -93,19 +98,21 @@ def stable_pairs(candidates: DataFrame, most_rounds: int = 10_000) -> DataFrame:
 
     In a round every free point picks its nearest boundary, every picked polygon takes its
     nearest centre among them, and both leave. Ties go to the least id. Each round makes
-    at least one pair, and is written to the shared folder, so plans don't grow.
+    at least one pair. Its pairs are added to one folder that is read once, and its
+    candidates replace those of the round before, so neither plans nor files grow.
     """
-    left, out = written(candidates, "assign"), None
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    left, path = written(candidates, "assign"), scratch(candidates.sparkSession, "assigned")
+    for n in range(most_rounds):
         picks = left.groupBy("pid").agg(F.min(F.struct("boundary", "bid", "centre")).alias("s")).select("pid", "s.bid", "s.centre")
-        won = written(picks.groupBy("bid").agg(F.min(F.struct("centre", "pid")).alias("s")).select("s.pid", "bid"), "assign")
-        out = won if out is None else out.unionByName(won)
-        left = written(left.join(won.select("pid"), "pid", "left_anti").join(won.select("bid"), "bid", "left_anti"), "assign")
+        picks.groupBy("bid").agg(F.min(F.struct("centre", "pid")).alias("s")).select("s.pid", "bid").write.parquet(f"{path}/{n}")
+        won = candidates.sparkSession.read.schema(left.select("pid", "bid").schema).parquet(f"{path}/{n}")
+        if won.isEmpty():
+            break
+        before, left = left, written(left.join(won.select("pid"), "pid", "left_anti").join(won.select("bid"), "bid", "left_anti"), "assign")
+        dropped(before)
     else:
         raise RuntimeError("rounds are used up")
-    return out if out is not None else candidates.select("pid", "bid").limit(0)
+    return candidates.sparkSession.read.schema(left.select("pid", "bid").schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def ring_area(e: Column) -> Column:

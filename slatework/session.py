@@ -11,8 +11,11 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it is known to stay under this many rows.
+#: A side of a join is broadcast only when it is known to stay under this many rows and about this many bytes.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 64 << 20
+#: Rows of one key that one task joins; keys with more are dealt to several.
+DEALT_ROWS = 4_000
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -59,8 +62,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a temporary
-    folder is made and set as checkpoint folder.
+    Only where the session leaves it unset on one machine (tests) a temporary
+    folder is made and set as checkpoint folder; on a cluster it must be set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -69,6 +72,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="slatework-shared-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -81,17 +86,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder as parquet and read it back.
 
     The files are replayable after the loss of executors. They are removed when
-    the driver process ends.
+    the driver process ends, or before by ``dropped``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Remove the files of frames made by ``written`` that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            _remove(df.sparkSession, path)
 
 
 def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
@@ -116,10 +136,41 @@ def whole_list(df: DataFrame, rows: int) -> list:
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows.
+def _size(name: str, kind: str):
+    """About the bytes of a column's value."""
+    c = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(16)
+
 
-    Proof is by counting at most ``rows + 1`` of them; larger tables are returned
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows of at most ``size`` bytes together.
+
+    Proof is by reading at most ``rows + 1`` of them; larger tables are returned
     without a hint and joined by shuffle.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    each = sum((_size(n, t) for n, t in df.dtypes), F.lit(0))
+    seen = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(each), F.lit(0)).alias("b")).first()  # one row
+    return F.broadcast(df) if seen["n"] <= rows and seen["b"] <= size else df
+
+
+def dealt(probe: DataFrame, build: DataFrame, keys: list[str], by: str, rows: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(probe, build, keys) for a join on ``keys`` in which no task meets more than about ``rows`` build rows of one key.
+
+    Build rows of a key that holds more are dealt to salts by a hash of ``by``, and probe
+    rows visit each salt of their key once, so every pair still comes once. The bound is
+    the same whatever the size of the table; the table of hot keys is broadcast only if
+    it is small. Without hot keys nothing is added.
+    """
+    most = rows or DEALT_ROWS
+    counts = build.groupBy(*keys).count().where(F.col("count") > most)
+    hot = written(counts.select(*keys, F.ceil(F.col("count") / most).cast("int").alias("_salts")), "hot-keys")
+    if hot.isEmpty():
+        return probe, build, keys
+    hot = small(hot)
+    build = build.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    probe = probe.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return probe, build, [*keys, "_salt"]

@@ -41,7 +41,6 @@ def test_near_pairs_equals_brute_force(spark, centre):
 
 
 def test_hot_cell_is_salted_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(proximity, "HOT_LEAST", 10)
     monkeypatch.setattr(proximity, "SALT_ROWS", 7)
     pts = [(i, 10.0 + (i % 5) * 1e-5, 20.0) for i in range(60)]
     assert set(found(spark, pts, 20.0)) == brute(pts, 20.0)
