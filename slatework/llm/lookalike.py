@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,9 @@ def _quoted(s: str) -> str:
 
 def _query(column: str, kind: str) -> str:
     """DuckDB query of the one form: without invisible characters, compatibility forms as plain ones,
-    look-alikes as one letter, NFC, every blank as a space, none at the ends. ``image`` also drops
-    case, folders and the traces of handling; case goes before look-alikes are mapped, in ``capitals`` after and before."""
+    look-alikes as one letter, NFC, every blank as a space, none at the ends. ``name`` also drops
+    case and folders; case goes before look-alikes are mapped, in ``capitals`` after and before.
+    ``image`` is a name without the traces of handling."""
     a, b = _compatible()
     spans = "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in COMPATIBLE)
     fold = kind != "text"
@@ -54,22 +56,45 @@ def _query(column: str, kind: str) -> str:
         f"SELECT * REPLACE (trim(regexp_replace({column}, '{BLANKS}', ' ', 'g')) AS {column}) FROM ({{}})",
     ]
     if fold:
-        steps.append(rf"SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace({column}, '^.*[/\\]', ''), '^copy of ', ''), '{TRACES}', '') AS {column}) FROM ({{}})")
+        steps.append(rf"SELECT * REPLACE (regexp_replace({column}, '^.*[/\\]', '') AS {column}) FROM ({{}})")
+    if kind == "image":
+        steps.append(f"SELECT * REPLACE ({_untraced(column)} AS {column}) FROM ({{}})")
     out = steps[0]
     for s in steps[1:]:
         out = s.replace("{}", out)
     return out
 
 
+def _untraced(column: str) -> str:
+    return f"regexp_replace(regexp_replace({column}, '^copy of ', ''), '{TRACES}', '')"
+
+
+def _connected():
+    """DuckDB in a Python worker: one thread, bounded memory, nothing spilled to the machine's disk."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1; SET memory_limit = '400MB'; SET temp_directory = ''; SET preserve_insertion_order = true")
+    return con
+
+
+def _made(con, sql: str, texts: pa.Array) -> list[pa.Array]:
+    """The columns that a query over the table ``batch`` of one column ``form`` makes."""
+    con.register("batch", pa.table({"form": texts}))
+    out = con.sql(sql).to_arrow_table()
+    con.unregister("batch")
+    flat = [c.combine_chunks().cast(pa.string()) for c in out.columns]
+    return [c if isinstance(c, pa.Array) else c.chunk(0) for c in flat]
+
+
 def one_form(df: DataFrame, text_col: str, kind: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., ``form``) of every row: the text in the one form, or with kind="image" the folded image name,
-    or with kind="capitals" the image name folded after capital look-alikes are mapped: names of one form are one there too.
+    """(keep..., ``form``) of every row: the text in the one form, or with kind="image" the folded image name.
 
     Null stays null, blank and invisible texts become empty. Long texts are taken
     whole. Rows keep their order within a partition; nothing is shuffled. A kept
     column may have any name but ``form``.
     """
-    if kind not in ("text", "image", "capitals"):
+    if kind not in ("text", "name", "image"):
         raise ValueError(kind)
     if "form" in keep:
         raise ValueError("form is the name of the result")
@@ -79,20 +104,64 @@ def one_form(df: DataFrame, text_col: str, kind: str = "text", keep: tuple[str,
     names = src.columns
 
     def run(batches):
-        import duckdb
-
-        con = duckdb.connect()
-        con.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = true")
+        con = _connected()
         for b in batches:
-            con.register("batch", pa.table({"form": b.column(b.num_columns - 1)}))
-            made = con.sql(sql).to_arrow_table().column("form").combine_chunks().cast(pa.string())
-            con.unregister("batch")
-            made = made if isinstance(made, pa.Array) else made.chunk(0)
+            (made,) = _made(con, sql, b.column(b.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), made], names=names)
 
     return src.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in src.dtypes))
 
 
+def image_names(df: DataFrame, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., ``name``, ``image``): the folded file name and, without the traces of handling, what it says of the image.
+
+    A capital may look like another letter than its small one does, so a name of other
+    than plain letters that comes out differently when capitals are mapped before case is
+    folded has a second row: names that are one in form are one in one of their rows.
+    Null and blank names, and names of traces alone, give no row.
+    """
+    if {"name", "image"} & set(keep):
+        raise ValueError("name and image are the names of the result")
+    ship(df.sparkSession)
+    src = df.select(*keep, F.col(text_col).alias("name"))
+    sql = {k: f"SELECT form, {_untraced('form')} AS image FROM ({_query('form', k)})" for k in ("name", "capitals")}
+    names = [*src.columns, "image"]
+
+    def run(batches):
+        con = _connected()
+        for b in batches:
+            texts = b.column(b.num_columns - 1)
+            kept = [b.column(i) for i in range(b.num_columns - 1)]
+            name, image = _made(con, sql["name"], texts)
+            yield pa.RecordBatch.from_arrays([*kept, name, image], names=names)
+            at = pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, "[^ -~]"), False))
+            if len(at):
+                other, image2 = _made(con, sql["capitals"], texts.take(at))
+                new = pc.not_equal(other, name.take(at))
+                at = at.filter(new)
+                yield pa.RecordBatch.from_arrays([*(k.take(at) for k in kept), other.filter(new), image2.filter(new)], names=names)
+
+    types = dict(src.dtypes)
+    out = src.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in src.columns), "image string"]))
+    return out.where("image <> ''")
+
+
+def same_image(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``same_image``: whether two folded names differ by traces of handling only."""
+    src = pairs.drop("same_image")
+    names = [*src.columns, "same_image"]
+    places = [src.columns.index(a), src.columns.index(b)]
+
+    def run(batches):
+        con = _connected()
+        for batch in batches:
+            images = [_made(con, f"SELECT {_untraced('form')} FROM batch", batch.column(i))[0] for i in places]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.equal(*images)], names=names)
+
+    ship(pairs.sparkSession)
+    return src.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in src.dtypes), "same_image boolean"]))
+
+
 def registered_spelling(rows: DataFrame, id_col: str, text_col: str, register: DataFrame, register_col: str) -> DataFrame:
     """(id, registered) of the rows whose text is no registered one, character for character, but looks the same as one.
 

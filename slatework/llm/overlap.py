@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Counts of shingles are kept by this many hash classes: a list of fixed size, whatever the corpus.
-CLASSES = 1 << 13
+from slatework.session import dealt, written
+
+#: Counts of shingles are kept by this many hash classes in each of so many tables: lists of fixed size, whatever the corpus.
+#: The least count of a shingle's classes is its rarity, so a rare shingle passes for a frequent one only if it shares all of them.
+CLASSES, TABLES = 1 << 13, 3
+# Words that handling a file leaves in its name.
+HANDLING = ("png", "jpg", "jpeg", "tif", "tiff", "webp", "bmp", "gif", "copy", "copie", "kopie", "copia", "crop", "cropped", "of")
 
 
 def char_shingles(text: Column, q: int) -> Column:
@@ -22,52 +27,80 @@ def word_shingles(text: Column, n: int = 5) -> Column:
     return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _rarity(shingled: DataFrame) -> Column:
-    """An expression of a shingle's rank: the count of its hash class, as a constant list of CLASSES numbers."""
-    counts = shingled.select(F.explode("s").alias("s")).groupBy(F.pmod("s", F.lit(CLASSES)).alias("c")).count().collect()  # CLASSES rows at most
-    by = {r["c"]: r["count"] for r in counts}
-    listed = F.split(F.lit(",".join(str(by.get(c, 0)) for c in range(CLASSES))), ",").cast("array<bigint>")
-    return lambda s: F.struct(F.element_at(listed, (F.pmod(s, F.lit(CLASSES)) + 1).cast("int")).alias("n"), s.alias("s"))
+def name_shingles(text: Column) -> Column:
+    """Distinct hashes of the words and numbers of a file name, lower case.
+
+    Counters of up to two digits and the words of handling tell no images apart and
+    are left out, unless a name has no others.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    telling = F.filter(words, lambda w: ~w.isin(*HANDLING) & ~w.rlike(r"^[0-9]{1,2}$"))
+    return F.array_distinct(F.transform(F.when(F.size(telling) > 0, telling).otherwise(words), lambda w: F.xxhash64(w)))
+
+
+def _rarity(shingled: DataFrame, weighted: bool):
+    """An expression of a shingle's rank (the least count of its hash classes) and weight, from constant lists of numbers.
 
+    The weight is one, or the cube of ln(1 + texts / count): rare shingles decide.
+    """
+    at = lambda s, i: F.pmod(F.shiftright(s, 16 * i), F.lit(CLASSES)).cast("int") + i * CLASSES
+    classes = F.explode(F.flatten(F.transform("s", lambda s: F.array(*[at(s, i) for i in range(TABLES)]))))
+    counts = {r["c"]: r["count"] for r in shingled.select(classes.alias("c")).groupBy("c").count().collect()}  # CLASSES x TABLES rows at most
+    listed = F.split(F.lit(",".join(str(counts.get(c, 0)) for c in range(CLASSES * TABLES))), ",").cast("array<bigint>")
+    total = shingled.count() if weighted else 0
+    count = lambda s: F.least(*[F.element_at(listed, at(s, i) + 1) for i in range(TABLES)])
+    weight = (lambda n: F.pow(F.log1p(F.lit(float(total)) / F.greatest(n, F.lit(1))), F.lit(3.0))) if weighted else (lambda n: F.lit(1.0))
+    return lambda s: F.struct(count(s).alias("n"), s.alias("s"), weight(count(s)).alias("w"))
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda t, x: t + x.w)
 
-def similar_texts(evaluation: DataFrame, training: DataFrame, shingles, threshold: float) -> DataFrame:
+
+def similar_texts(evaluation: DataFrame, training: DataFrame, shingles, threshold: float, weighted: bool = False) -> DataFrame:
     """(text_e, text_t, similarity) of all pairs of an evaluation and a training text with Jaccard >= threshold.
 
     Both inputs have one column ``text``; copies are collapsed here. ``shingles`` makes
-    an array of hashes of a text. Every set is sorted by one global order, rare
+    an array of hashes of a text; ``weighted`` measures sets by the weight of their shingles' rarity
+    instead of their number. Every set is sorted by one global order, rare
     classes first; two sets that are similar enough share a shingle within their
-    prefixes, so only prefixes are joined. Candidates pass the length and position
+    prefixes, so only prefixes are joined. A prefix ends where what follows weighs less than the
+    threshold's part of the set. Candidates pass the length and position
     filters before their sets are compared in full. Null texts and texts without
     shingles are in no pair.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sides = [d.select("text").where("text is not null").distinct().select("text", shingles(F.col("text")).alias("s")).where("size(s) > 0") for d in (evaluation, training)]
-    rank = _rarity(sides[0].unionByName(sides[1]))
-
-    def prefixes(d: DataFrame, tag: str) -> DataFrame:
-        ordered = d.select("text", F.size("s").alias("n"), F.array_sort(F.transform("s", rank)).alias("o"))
-        length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-        return ordered.select("text", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("pos", "o")).select(F.col("text").alias(f"text_{tag}"), F.col("n").alias(f"n_{tag}"), F.col("pos").alias(f"pos_{tag}"), F.col("o.s").alias("s"))
-
-    e, t = prefixes(sides[0], "e"), prefixes(sides[1], "t")
-    # Overlap needed for the threshold, and the most that can still come after these positions.
-    need = F.ceil((F.col("n_e") + F.col("n_t")) * (threshold / (1 + threshold)) - 1e-9)
-    most = 1 + F.least(F.col("pos_e"), F.col("pos_t")) + F.least(F.col("n_e") - F.col("pos_e"), F.col("n_t") - F.col("pos_t")) - 1
-    near = (F.col("n_t") >= F.col("n_e") * threshold - 1e-9) & (F.col("n_e") >= F.col("n_t") * threshold - 1e-9)
-    pairs = e.join(t, "s").where(near & (most >= need)).select("text_e", "text_t")
-    if threshold < 1:
-        pairs = pairs.distinct()  # at 1 the prefix is one shingle, so a pair comes once
-    common = F.size(F.array_intersect(shingles(F.col("text_e")), shingles(F.col("text_t"))))
-    union = F.size(F.array_union(shingles(F.col("text_e")), shingles(F.col("text_t"))))
-    return pairs.withColumn("similarity", common / union).where(F.col("similarity") >= threshold - 1e-12)
-
-
-def cross_pairs(evaluation: DataFrame, training: DataFrame, shingles, threshold: float, same_text: bool = False) -> DataFrame:
-    """(id_e, id_t) of rows (id, text) whose texts are similar; with ``same_text`` they must also be equal."""
-    found = similar_texts(evaluation.select("text"), training.select("text"), shingles, threshold)
-    if same_text:
-        found = found.where("text_e = text_t")
+    both = evaluation.select("text", F.lit(True).alias("e")).unionByName(training.select("text", F.lit(False).alias("e"))).where("text is not null")
+    sets = both.groupBy("text").agg(F.max("e").alias("e"), F.max(~F.col("e")).alias("t")).withColumn("s", shingles(F.col("text"))).where("size(s) > 0")
+    sets = written(sets, "overlap-sets")
+    rank = _rarity(sets, weighted)
+
+    def prefixes(side: str) -> DataFrame:
+        d = sets.where(side).select("text", F.array_sort(F.transform("s", rank)).alias("o")).withColumn("all", _sum(F.col("o")))
+        # What a set weighs from each place on: all less what goes before.
+        d = d.withColumn("rest", F.transform("o", lambda x, i: F.col("all") - _sum(F.slice("o", F.lit(1), i)))) if weighted else d.withColumn("rest", F.transform("o", lambda x, i: F.col("all") - i))
+        d = d.withColumn("o", F.filter(F.arrays_zip("o", "rest"), lambda z: z.rest >= F.col("all") * threshold - 1e-9))
+        return d.select("text", "all", F.explode("o").alias("z")).select(F.col("text").alias(f"text_{side}"), F.col("all").alias(f"all_{side}"), F.col("z.rest").alias(f"rest_{side}"), F.col("z.o.s").alias("s"))
+
+    e, t = prefixes("e"), prefixes("t")
+    # Overlap needed for the threshold, and the most that can come from these places on and before them.
+    need = (F.col("all_e") + F.col("all_t")) * (threshold / (1 + threshold)) - 1e-9
+    most = F.least(F.col("all_e") - F.col("rest_e"), F.col("all_t") - F.col("rest_t")) + F.least("rest_e", "rest_t")
+    near = (F.col("all_t") >= F.col("all_e") * threshold - 1e-9) & (F.col("all_e") >= F.col("all_t") * threshold - 1e-9)
+    pairs = e.join(t, "s").where(near & (most >= need)).select("text_e", "text_t").distinct()
+    part = lambda f: _sum(F.transform(f(shingles(F.col("text_e")), shingles(F.col("text_t"))), rank))
+    if not weighted:
+        part = lambda f: F.size(f(shingles(F.col("text_e")), shingles(F.col("text_t"))))
+    return pairs.withColumn("similarity", part(F.array_intersect) / part(F.array_union)).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def cross_pairs(evaluation: DataFrame, training: DataFrame, found: DataFrame) -> DataFrame:
+    """(id_e, id_t) of rows (id, text) whose texts are a pair of ``found`` (text_e, text_t).
+
+    A text that very many training rows hold is dealt to several tasks.
+    """
     e = evaluation.select(F.col("id").alias("id_e"), F.col("text").alias("text_e"))
     t = training.select(F.col("id").alias("id_t"), F.col("text").alias("text_t"))
-    return found.select("text_e", "text_t").join(e, "text_e").join(t, "text_t").select("id_e", "id_t")
+    probe, build, keys = dealt(found.select("text_e", "text_t").join(e, "text_e").drop("text_e"), t, ["text_t"], "id_t")
+    return probe.join(build, keys).select("id_e", "id_t")

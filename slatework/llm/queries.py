@@ -88,26 +88,43 @@ def _split(c):
 
 #: Metres within which two records show the same building.
 SAME_M = 3.0
-#: Length of the shingles of file names: long enough to be rare among numbered files.
-NAME_SHINGLE = 8
+#: Weighted similarity of file names from which on they are compared: counters and rare words of handling take up to half.
+NAME_SIMILARITY = 0.5
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """(record_id, part, name) of the records of a split, under the one or two forms of their names."""
+    b = table(spark, d, "building_metadata").select("record_id", "filename", _split(F.col("split")).alias("part")).where("part is not null")
+    return written(lookalike.image_names(b.withColumnRenamed("filename", "file"), "file", keep=("record_id", "part")).drop("image"), "overlap-names")
+
+
+def _similar_names(names: DataFrame) -> DataFrame:
+    """(text_e, text_t, similarity, same_image) of the names of evaluation and training records that share most of what tells images apart.
+
+    Similar names are of one image if they differ by traces of handling only: an exact check of the pairs found.
+    """
+    sides = [names.where(cond).select(F.col("name").alias("text")) for cond in ("part <> 'train'", "part = 'train'")]
+    return lookalike.same_image(overlap.similar_texts(*sides, overlap.name_shingles, NAME_SIMILARITY, weighted=True), "text_e", "text_t")
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     """(id_e, id_t) pairs of an evaluation and a training record that show the same building."""
-    b = table(spark, d, "building_metadata").select("record_id", "filename", "latitude", "longitude", _split(F.col("split")).alias("part")).where("part is not null")
+    b = table(spark, d, "building_metadata").select("record_id", "latitude", "longitude", _split(F.col("split")).alias("part")).where("part is not null")
     training, evaluation = b.where("part = 'train'"), b.where("part <> 'train'")
-    names = written(lookalike.one_form(b, "filename", "image", keep=("record_id", "part", "filename")), "overlap-names")
-    # A capital may look like another letter than its small one does: names of other than plain letters are also compared in the other order.
-    other = lookalike.one_form(names.where(r"filename rlike '[^ -~]'").withColumnRenamed("form", "plain"), "filename", "capitals", keep=("record_id", "part", "plain"))
-    other = written(other.where("form <> plain").select("record_id", "part", "form"), "overlap-names")
-    names = names.select("record_id", "part", "form").unionByName(other).where("form <> ''")
-    named = [names.where(cond).select(F.col("record_id").alias("id"), F.col("form").alias("text")) for cond in ("part <> 'train'", "part = 'train'")]
-    by_name = overlap.cross_pairs(*named, lambda t: overlap.char_shingles(t, NAME_SHINGLE), 1.0, same_text=True)
+    names = _named(spark, d)
+    sides = [names.where(cond).select(F.col("record_id").alias("id"), F.col("name").alias("text")) for cond in ("part <> 'train'", "part = 'train'")]
+    by_name = overlap.cross_pairs(*sides, _similar_names(names).where("same_image"))
     at = [proximity.located(x, "record_id", "latitude", "longitude") for x in (evaluation, training)]
     by_place = proximity.near_pairs(*at, SAME_M).select(F.col("id_a").alias("id_e"), F.col("id_b").alias("id_t"))
     return by_name.union(by_place).distinct()
 
 
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of an evaluation and a training name that are similar, with their similarity and whether they are of one image: a row per pair of distinct names."""
+    found = _similar_names(_named(spark, d))
+    return found.select(F.col("text_e").alias("name_e"), F.col("text_t").alias("name_t"), F.round("similarity", 6).alias("similarity"), "same_image")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training and a val or holdout record of the same building."""
     return _overlaps(spark, d).select(F.least("id_e", "id_t").alias("record_a"), F.greatest("id_e", "id_t").alias("record_b"))
@@ -161,7 +178,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p3_candidates": p3_candidates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_form": p5_form,
+    "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p3_candidates": p3_candidates, "p4_found": p4_found, "p4_report": p4_report, "p4_similar": p4_similar, "p5_found": p5_found, "p5_form": p5_form,
     "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_pieces": p10_pieces,
 }

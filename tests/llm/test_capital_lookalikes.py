@@ -16,10 +16,23 @@ def forms(spark, texts, kind):
 
 
 def test_names_of_one_form_have_one_image_name(spark):
-    names = [f"roof{x}_1.png" for pair in lookalike.LOOKALIKES.items() if pair[0].isalpha() for x in pair]
-    text, capitals = forms(spark, names, "text"), forms(spark, names, "capitals")
+    pairs = [pair for pair in lookalike.LOOKALIKES.items() if pair[0].isalpha()]
+    names = [f"roof{x}_1.png" for pair in pairs for x in pair]
+    text = forms(spark, names, "text")
     assert text[::2] == text[1::2]
-    assert capitals[::2] == capitals[1::2]
+    df = spark.createDataFrame(list(enumerate(names)), "i long, t string")
+    images: dict = {}
+    for r in lookalike.image_names(df, "t", keep=("i",)).collect():
+        images.setdefault(r.i, set()).add(r.image)
+    assert all(images[2 * k] & images[2 * k + 1] for k in range(len(pairs)))
+
+
+def test_image_names_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, None), (2, " "), (3, ".png"), (4, "a/B_1 (3).PNG"), (4, "a/B_1 (3).PNG")], "i long, t string")
+    assert sorted(map(tuple, lookalike.image_names(df, "t", keep=("i",)).collect())) == [(4, "b_1 (3).png", "b_1")] * 2
+    assert lookalike.image_names(df.where("false"), "t").count() == 0
+    pairs = spark.createDataFrame([("b_1 (3).png", "copy of b_1.jpg"), ("b_1.png", "b_2.png"), (None, "b")], "a string, b string")
+    assert [r.same_image for r in lookalike.same_image(pairs, "a", "b").collect()] == [True, False, None]
 
 
 def test_pairs_of_capital_lookalikes(spark, sf, tmp_path):

@@ -2,6 +2,7 @@ import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from slatework.functions.geo import EARTH_M
 from slatework.llm import canonical, lookalike, overlap
@@ -118,12 +119,46 @@ def test_overlap_equals_brute_force(spark, threshold):
     assert set(got) == want
 
 
-def test_cross_pairs_keep_copies_and_empty_sides(spark):
+def test_weighted_overlap_equals_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rnd = random.Random(9)
+    names = lambda n: sorted({f"{rnd.choice(['aston', 'bremen', 'port_kiel', 'new york'])}_{rnd.randint(100, 160)}{rnd.choice(['', '_height', ' roof', '_final', '_copy'])}.{rnd.choice(['png', 'jpg'])}" for _ in range(n)})
+    e, t = names(80), names(120)
+    words = {x: frozenset(w for w in __import__("re").split(r"[^a-z0-9]+", x) if w and w not in overlap.HANDLING) for x in {*e, *t}}
+    counts = Counter(w for x in words.values() for w in x)
+    weight = lambda ws: sum(math.log1p(len(words) / counts[w]) ** 3 for w in ws)
+    measured = {(a, b): weight(words[a] & words[b]) / weight(words[a] | words[b]) for a in e for b in t}
+    for threshold in (0.3, 0.5, 0.8):
+        frames = [spark.createDataFrame([(x,) for x in v], "text string") for v in (e, t)]
+        got = {(r.text_e, r.text_t): r.similarity for r in overlap.similar_texts(*frames, overlap.name_shingles, threshold, weighted=True).collect()}
+        want = {k: v for k, v in measured.items() if v >= threshold - 1e-12}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert any(v < 1 for v in want.values())
+
+
+def test_cross_pairs_keep_copies_and_empty_sides(spark, monkeypatch):
+    from slatework import session
+
     e = spark.createDataFrame([(1, "abcdefghij"), (2, "abcdefghij"), (3, None), (4, "")], "id long, text string")
     t = spark.createDataFrame([(7, "abcdefghij"), (8, "abcdefghik"), (9, "short")], "id long, text string")
     s = lambda c: overlap.char_shingles(c, 8)
-    assert sorted(map(tuple, overlap.cross_pairs(e, t, s, 1.0, True).collect())) == [(1, 7), (2, 7)]
-    assert overlap.cross_pairs(e.where("false"), t, s, 1.0).count() == 0
+    found = overlap.similar_texts(e, t, s, 0.5)
+    assert sorted(map(tuple, overlap.cross_pairs(e, t, found).collect())) == [(1, 7), (1, 8), (2, 7), (2, 8)]
+    assert overlap.similar_texts(e.where("false"), t, s, 1.0).count() == 0
     with pytest.raises(ValueError, match="threshold"):
         overlap.similar_texts(e.select("text"), t.select("text"), s, 0.0)
     assert EARTH_M > 0
+    # A text that very many rows hold is dealt to several tasks without loss.
+    monkeypatch.setattr(session, "DEALT_ROWS", 3)
+    many = spark.createDataFrame([(i, "abcdefghij") for i in range(20)], "id long, text string")
+    assert sorted(map(tuple, overlap.cross_pairs(e, many, overlap.similar_texts(e, many, s, 1.0)).collect())) == [(a, b) for a in (1, 2) for b in range(20)]
+
+
+def test_name_shingles(spark):
+    df = spark.createDataFrame([("Aston_00123 (2)_copy.PNG",), ("aston-00123.jpg",), ("12.png",), ("",), (None,)], "t string").select(overlap.name_shingles(F.col("t")).alias("s"))
+    a, b, c, d, n = (r.s for r in df.collect())
+    assert sorted(a) == sorted(b)
+    assert (len(a), len(c), d, n) == (2, 2, [], None)
