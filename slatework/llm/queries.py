@@ -149,19 +149,20 @@ def p5_form(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    """(record_id, city_id, split now, component, new split) of every record."""
-    b = table(spark, d, "building_metadata").select("record_id", _split(F.col("split")).alias("split_now"))
+    """(record_id, city_id, split now, component, new split) of every record; records of one city, or with the file name of one image, are related."""
+    b = table(spark, d, "building_metadata").select("record_id", "filename", _split(F.col("split")).alias("split_now"))
     city = _typed_cities(spark, d).where("ref_id >= 0").select(F.col("id").alias("record_id"), F.col("ref_id").alias("city_id"))
-    rows = written(b.join(city, "record_id", "left"), "splits-cities")
+    named = lookalike.one_form(b, "filename", "image", keep=("record_id", "split_now")).withColumn("image", F.nullif("form", F.lit(""))).drop("form")
+    rows = written(named.join(city, "record_id", "left"), "splits-cities")
     shares = [(r["split"], r["share"]) for r in whole_list(table(spark, d, "split_targets").where("split is not null and share > 0"), 1000)]  # one row per split
-    new = splits.grouped_splits(rows, "record_id", ["city_id"], shares)
-    return rows.join(new.withColumnRenamed("id", "record_id"), "record_id")
+    new = splits.grouped_splits(rows, "record_id", ["city_id", "image"], shares)
+    return rows.drop("image").join(new.withColumnRenamed("id", "record_id"), "record_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Cities whose records now stand in more than one split: components that the new splits bring together."""
-    g = _grouped(spark, d).where("city_id is not null and split_now is not null").groupBy("component", "city_id").agg(F.countDistinct("split_now").alias("n"))
-    return g.where("n > 1").select("city_id")
+    """Cities that the new splits bring together: their records stand in several splits now, and in one component and one new split."""
+    g = _grouped(spark, d).where("city_id is not null").groupBy("city_id").agg(*[F.countDistinct(c).alias(c) for c in ("split_now", "component", "split")])
+    return g.where("split_now > 1 and component = 1 and split = 1").select("city_id")
 
 
 def p7_splits(spark: SparkSession, d: str) -> DataFrame:

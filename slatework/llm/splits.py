@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.session import small, written
+from slatework.session import dropped, small, written
 
 #: Rounds after which components must have converged; hooking with shortcutting needs about log2 of the longest path.
 MOST_ROUNDS = 60
@@ -22,28 +22,28 @@ def components(edges: DataFrame) -> DataFrame:
     is written to the shared folder. Loops and repeated edges do no harm.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = written(e, "components-edges")
+    live = written(e, "components-edges")
     loops = edges.where("a is not null and a <=> b").select(F.col("a").alias("node"))
-    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).union(loops).distinct()
+    nodes = live.select(F.col("a").alias("node")).union(live.select("b")).union(loops).distinct()
     parents = written(nodes.select("node", F.col("node").alias("parent")), "components-parents")
-    live = e
     for _ in range(MOST_ROUNDS):
         p = parents.withColumnRenamed("node", "n")
         # Edges between roots; those inside a tree are spent.
-        live = live.join(p.select(F.col("n").alias("a"), F.col("parent").alias("ra")), "a").join(p.select(F.col("n").alias("b"), F.col("parent").alias("rb")), "b")
-        live = live.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        live = written(live, "components-edges")
+        roots = live.join(p.select(F.col("n").alias("a"), F.col("parent").alias("ra")), "a").join(p.select(F.col("n").alias("b"), F.col("parent").alias("rb")), "b")
+        before, live = live, written(roots.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "components-edges")
+        dropped(before)
         if live.isEmpty():
             return parents.select("node", F.col("parent").alias("component"))
         # Hook: each larger root to its least smaller neighbour; parents only fall, so no cycle arises.
         hooks = written(live.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("to")), "components-hooks")
         while True:  # shortcut: pointer doubling among the hooked roots
             up = hooks.select(F.col("n").alias("to"), F.col("to").alias("top"))
-            nxt = written(hooks.join(up, "to", "left").select("n", F.coalesce("top", "to").alias("to"), F.col("top").isNotNull().alias("moved")), "components-hooks")
-            hooks = nxt.select("n", "to")
-            if nxt.where("moved").isEmpty():
+            before, hooks = hooks, written(hooks.select("n", "to").join(up, "to", "left").select("n", F.coalesce("top", "to").alias("to"), F.col("top").isNotNull().alias("moved")), "components-hooks")
+            dropped(before)
+            if hooks.where("moved").isEmpty():
                 break
-        parents = written(parents.join(hooks, parents["parent"] == hooks["n"], "left").select("node", F.coalesce("to", "parent").alias("parent")), "components-parents")
+        before, parents = parents, written(parents.join(hooks, parents["parent"] == hooks["n"], "left").select("node", F.coalesce("to", "parent").alias("parent")), "components-parents")
+        dropped(before, hooks)
     raise RuntimeError(f"no convergence in {MOST_ROUNDS} rounds")
 
 
@@ -125,13 +125,18 @@ def assign(sizes: dict[int, int], shares: list[tuple[str, float]]) -> dict[str,
 def grouped_splits(rows: DataFrame, id_col: str, keys: list[str], shares: list[tuple[str, float]]) -> DataFrame:
     """(id, component, split) such that rows that share any of the keys are in one split.
 
-    Null keys connect nothing; a row without any key is a component of its own.
+    Null keys connect nothing, nor does a key that one row alone holds; a row without any other is a component of its own.
     Components are found over key values, not rows, so a value held by a third of
     all rows is one node. The driver sees how many components have each size: with n
-    records at most sqrt(2n) numbers. Ids should be unique.
+    records at most sqrt(2n) numbers. Ids should be unique. A component's name is
+    the number of its key and the value.
     """
-    tagged = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys)]
-    d = rows.select(F.col(id_col).alias("id"), F.array_compact(F.array(*tagged)).alias("k")).withColumn("first", F.coalesce(F.try_element_at("k", F.lit(1)), F.concat(F.lit("id:"), F.col("id").cast("string"))))
+    d = rows.select(F.col(id_col).alias("id"), *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)])
+    for i in range(len(keys)):  # keys of one row are dropped before any link is made
+        shared = d.where(F.col(f"k{i}").isNotNull()).groupBy(f"k{i}").count().where("count > 1").select(f"k{i}", F.lit(True).alias(f"s{i}"))
+        d = d.join(shared, f"k{i}", "left")
+    tagged = [F.when(F.col(f"s{i}"), F.concat(F.lit(f"{i}:"), F.col(f"k{i}"))) for i in range(len(keys))]
+    d = d.select("id", F.array_compact(F.array(*tagged)).alias("k")).withColumn("first", F.coalesce(F.try_element_at("k", F.lit(1)), F.concat(F.lit("id:"), F.col("id").cast("string"))))
     d = written(d, "split-rows")
     # A row links its first key to its other keys; links are distinct before they are counted or joined.
     links = d.select("first", F.explode(F.when(F.size("k") > 0, F.col("k")).otherwise(F.array("first"))).alias("b")).distinct().select(F.col("first").alias("a"), "b")
