@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatework.functions.expr import let
 from slatework.session import dealt, written
 
 #: Counts of shingles are kept by this many hash classes in each of so many tables: lists of fixed size, whatever the corpus.
@@ -38,19 +39,20 @@ def name_shingles(text: Column) -> Column:
     return F.array_distinct(F.transform(F.when(F.size(telling) > 0, telling).otherwise(words), lambda w: F.xxhash64(w)))
 
 
-def _rarity(shingled: DataFrame, weighted: bool):
-    """An expression of a shingle's rank (the least count of its hash classes) and weight, from constant lists of numbers.
+def _ranked(sets: DataFrame, weighted: bool) -> DataFrame:
+    """``sets`` with ``o``: its shingles as (n, s, w), rare ones first; n is the least count of the shingle's hash classes, w its weight.
 
-    The weight is one, or the cube of ln(1 + texts / count): rare shingles decide.
+    The weight is one, or the cube of ln(1 + texts / n): rare shingles decide. The
+    counts are a constant list that stands in the plan once.
     """
     at = lambda s, i: F.pmod(F.shiftright(s, 16 * i), F.lit(CLASSES)).cast("int") + i * CLASSES
     classes = F.explode(F.flatten(F.transform("s", lambda s: F.array(*[at(s, i) for i in range(TABLES)]))))
-    counts = {r["c"]: r["count"] for r in shingled.select(classes.alias("c")).groupBy("c").count().collect()}  # CLASSES x TABLES rows at most
+    counts = {r["c"]: r["count"] for r in sets.select(classes.alias("c")).groupBy("c").count().collect()}  # CLASSES x TABLES rows at most
     listed = F.split(F.lit(",".join(str(counts.get(c, 0)) for c in range(CLASSES * TABLES))), ",").cast("array<bigint>")
-    total = shingled.count() if weighted else 0
-    count = lambda s: F.least(*[F.element_at(listed, at(s, i) + 1) for i in range(TABLES)])
-    weight = (lambda n: F.pow(F.log1p(F.lit(float(total)) / F.greatest(n, F.lit(1))), F.lit(3.0))) if weighted else (lambda n: F.lit(1.0))
-    return lambda s: F.struct(count(s).alias("n"), s.alias("s"), weight(count(s)).alias("w"))
+    total = float(sets.count()) if weighted else 0.0
+    weight = lambda n: F.pow(F.log1p(F.lit(total) / F.greatest(n, F.lit(1))), F.lit(3.0)) if weighted else F.lit(1.0)
+    one = lambda known, s: let(F.least(*[F.element_at(known, at(s, i) + 1) for i in range(TABLES)]), lambda n: F.struct(n.alias("n"), s.alias("s"), weight(n).alias("w")))
+    return sets.withColumn("o", F.array_sort(let(listed, lambda known: F.transform("s", lambda s: one(known, s)))))
 
 
 def _sum(a: Column) -> Column:
@@ -74,25 +76,34 @@ def similar_texts(evaluation: DataFrame, training: DataFrame, shingles, threshol
     both = evaluation.select("text", F.lit(True).alias("e")).unionByName(training.select("text", F.lit(False).alias("e"))).where("text is not null")
     sets = both.groupBy("text").agg(F.max("e").alias("e"), F.max(~F.col("e")).alias("t")).withColumn("s", shingles(F.col("text"))).where("size(s) > 0")
     sets = written(sets, "overlap-sets")
-    rank = _rarity(sets, weighted)
+    sets = written(_ranked(sets, weighted).select("text", "e", "t", "o"), "overlap-ranked")
 
     def prefixes(side: str) -> DataFrame:
-        d = sets.where(side).select("text", F.array_sort(F.transform("s", rank)).alias("o")).withColumn("all", _sum(F.col("o")))
+        d = sets.where(side).select("text", "o", F.col("o").alias("set")).withColumn("all", _sum(F.col("o")))
         # What a set weighs from each place on: all less what goes before.
         d = d.withColumn("rest", F.transform("o", lambda x, i: F.col("all") - _sum(F.slice("o", F.lit(1), i)))) if weighted else d.withColumn("rest", F.transform("o", lambda x, i: F.col("all") - i))
         d = d.withColumn("o", F.filter(F.arrays_zip("o", "rest"), lambda z: z.rest >= F.col("all") * threshold - 1e-9))
-        return d.select("text", "all", F.explode("o").alias("z")).select(F.col("text").alias(f"text_{side}"), F.col("all").alias(f"all_{side}"), F.col("z.rest").alias(f"rest_{side}"), F.col("z.o.s").alias("s"))
+        kept = [F.col("set").alias("set_e")] if weighted and side == "e" else []  # the weights of the smaller side go along
+        return d.select("text", "all", "set", F.explode("o").alias("z")).select(F.col("text").alias(f"text_{side}"), F.col("all").alias(f"all_{side}"), *kept, F.col("z.rest").alias(f"rest_{side}"), F.col("z.o.s").alias("s"))
 
     e, t = prefixes("e"), prefixes("t")
     # Overlap needed for the threshold, and the most that can come from these places on and before them.
     need = (F.col("all_e") + F.col("all_t")) * (threshold / (1 + threshold)) - 1e-9
     most = F.least(F.col("all_e") - F.col("rest_e"), F.col("all_t") - F.col("rest_t")) + F.least("rest_e", "rest_t")
     near = (F.col("all_t") >= F.col("all_e") * threshold - 1e-9) & (F.col("all_e") >= F.col("all_t") * threshold - 1e-9)
-    pairs = e.join(t, "s").where(near & (most >= need)).select("text_e", "text_t").distinct()
-    part = lambda f: _sum(F.transform(f(shingles(F.col("text_e")), shingles(F.col("text_t"))), rank))
-    if not weighted:
+    pairs = e.join(t, "s").where(near & (most >= need))
+    if weighted:
+        # A pair is compared where its first common shingle of the order was met, so it comes once.
+        theirs = shingles(F.col("text_t"))
+        common = let(theirs, lambda s: F.filter("set_e", lambda x: F.array_contains(s, x.s)))
+        pairs = pairs.select("text_e", "text_t", "all_e", "all_t", "s", common.alias("c")).where(F.try_element_at("c", F.lit(1))["s"] == F.col("s"))
+        shared = _sum(F.col("c"))
+        pairs = pairs.select("text_e", "text_t", (shared / (F.col("all_e") + F.col("all_t") - shared)).alias("similarity"))
+    else:
+        pairs = pairs.select("text_e", "text_t").distinct()
         part = lambda f: F.size(f(shingles(F.col("text_e")), shingles(F.col("text_t"))))
-    return pairs.withColumn("similarity", part(F.array_intersect) / part(F.array_union)).where(F.col("similarity") >= threshold - 1e-12)
+        pairs = pairs.withColumn("similarity", part(F.array_intersect) / part(F.array_union))
+    return pairs.where(F.col("similarity") >= threshold - 1e-12)
 
 
 def cross_pairs(evaluation: DataFrame, training: DataFrame, found: DataFrame) -> DataFrame:
