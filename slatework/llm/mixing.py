@@ -63,6 +63,8 @@ def mixed(docs: DataFrame, targets: DataFrame, tilt: float = TILT, seed: int = 4
     the t where D(t) = c, found by inverting the quadratic. Rows are range-sorted by
     position. Documents without tokens, without a source or of a source without a
     target are not placed; a target whose source has no tokens is reported with zero.
+    The report also tells the tokens of each source's documents that are never used: the
+    total is bound by the source that its repeats make scarcest.
     """
     docs = written(docs.where("tokens > 0 and source is not null"), "mix-sizes")
     rows = docs.count()
@@ -78,10 +80,13 @@ def mixed(docs: DataFrame, targets: DataFrame, tilt: float = TILT, seed: int = 4
     t = F.when(F.abs(a) < 1e-9, x).otherwise((1 + a - F.sqrt(F.greatest((1 + a) * (1 + a) - 4 * a * x, F.lit(0.0)))) / (2 * a))
     placed = placed.select("id", "source", "repeat", "tokens", (t * F.col("total")).cast("long").alias("position"))
     placed = written(placed, "mix-placed")
-    used = placed.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.count(F.lit(1)).alias("rows"), F.max("repeat").alias("repeats"))
+    first = F.sum(F.when(F.col("repeat") == 1, F.col("tokens")))
+    used = placed.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.count(F.lit(1)).alias("rows"), F.max("repeat").alias("repeats"), first.alias("first"))
+    have = docs.groupBy("source").agg(F.sum("tokens").alias("have"))
     one = Window.partitionBy(F.lit(1))
-    report = targets.select("source", "target_share", "max_repeats").distinct().join(used, "source", "left").select(
+    report = targets.select("source", "target_share", "max_repeats").distinct().join(used, "source", "left").join(have, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("repeats", F.lit(0)).alias("repeats"),
+        (F.coalesce("have", F.lit(0)) - F.coalesce("first", F.lit(0))).alias("left_out_tokens"),
     )
     report = report.withColumn("reached_share", F.coalesce(F.try_divide("used_tokens", F.sum("used_tokens").over(one)), F.lit(0.0)))
     return placed.orderBy("position", "source", "id", "repeat"), report
