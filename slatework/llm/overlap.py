@@ -60,9 +60,14 @@ def _sum(a: Column) -> Column:
 
 
 def similar_texts(evaluation: DataFrame, training: DataFrame, shingles, threshold: float, weighted: bool = False) -> DataFrame:
+    """As ``similar_sides``, of two tables with a column ``text``."""
+    return similar_sides(evaluation.select("text", F.lit(True).alias("e")).unionByName(training.select("text", F.lit(False).alias("e"))), shingles, threshold, weighted)
+
+
+def similar_sides(texts: DataFrame, shingles, threshold: float, weighted: bool = False) -> DataFrame:
     """(text_e, text_t, similarity) of all pairs of an evaluation and a training text with Jaccard >= threshold.
 
-    Both inputs have one column ``text``; copies are collapsed here. ``shingles`` makes
+    texts: (text, e), e telling evaluation texts from training texts; copies are collapsed here. ``shingles`` makes
     an array of hashes of a text; ``weighted`` measures sets by the weight of their shingles' rarity
     instead of their number. Every set is sorted by one global order, rare
     classes first; two sets that are similar enough share a shingle within their
@@ -73,9 +78,9 @@ def similar_texts(evaluation: DataFrame, training: DataFrame, shingles, threshol
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    both = evaluation.select("text", F.lit(True).alias("e")).unionByName(training.select("text", F.lit(False).alias("e"))).where("text is not null")
-    sets = both.groupBy("text").agg(F.max("e").alias("e"), F.max(~F.col("e")).alias("t")).withColumn("s", shingles(F.col("text"))).where("size(s) > 0")
+    sets = texts.where("text is not null").groupBy("text").agg(F.max("e").alias("e"), F.max(~F.col("e")).alias("t")).withColumn("s", shingles(F.col("text"))).where("size(s) > 0")
     sets = written(sets, "overlap-sets")
+    # Written: the order is read in several places, and the planner would work it out in each.
     sets = written(_ranked(sets, weighted).select("text", "e", "t", "o"), "overlap-ranked")
 
     def prefixes(side: str) -> DataFrame:

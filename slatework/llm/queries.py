@@ -103,8 +103,8 @@ def _similar_names(names: DataFrame) -> DataFrame:
 
     Similar names are of one image if they differ by traces of handling only: an exact check of the pairs found.
     """
-    sides = [names.where(cond).select(F.col("name").alias("text")) for cond in ("part <> 'train'", "part = 'train'")]
-    return lookalike.same_image(overlap.similar_texts(*sides, overlap.name_shingles, NAME_SIMILARITY, weighted=True), "text_e", "text_t")
+    texts = names.select(F.col("name").alias("text"), (F.col("part") != "train").alias("e"))
+    return lookalike.same_image(overlap.similar_sides(texts, overlap.name_shingles, NAME_SIMILARITY, weighted=True), "text_e", "text_t")
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
