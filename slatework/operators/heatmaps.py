@@ -150,7 +150,7 @@ def channels(a: Column, n: int, size: int, kind: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
 
 
-def _weights(size: int, to: int) -> np.ndarray:
+def axis_weights(size: int, to: int) -> np.ndarray:
     """Matrix (to x size) of the bilinear weights of one axis: pixel centres, edges repeated."""
     out = np.zeros((to, size))
     for i in range(to):
@@ -168,7 +168,7 @@ def bilinear(a: Column, w: int, h: int, w2: int, h2: int) -> Column:
     The weights depend on the sizes alone, so a batch of arrays is two products with the
     small matrices of its axes.
     """
-    across, down = _weights(w, w2), _weights(h, h2)
+    across, down = axis_weights(w, w2), axis_weights(h, h2)
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.functions.vocab import JOB_STATES
+from slatework.functions.vocab import JOB_STATES, MODES
 
 
 def job_id(image: Column, method: Column) -> Column:
@@ -51,3 +54,43 @@ def actions(wanted: DataFrame, jobs: DataFrame, outputs: DataFrame) -> DataFrame
     done = jobs.where("status = 'done'").select("job_id", F.lit(True).alias("_d"))
     there = outputs.select("output").distinct().withColumn("_o", F.lit(True))
     return wanted.join(done, "job_id", "left").join(there, "output", "left").withColumn("action", F.when(F.col("_d") & F.col("_o"), "skip").otherwise("run")).drop("_d", "_o")
+
+
+def run_grid(spark: SparkSession, modes: list[str], seeds: int, start: int = 0) -> DataFrame:
+    """(mode, seed): every mode with ``seeds`` numbers from ``start`` on. Unknown modes raise ValueError."""
+    if unknown := [m for m in modes if m not in MODES]:
+        raise ValueError(f"unknown modes: {unknown}")
+    return spark.range(start, start + seeds).select(F.explode(F.array(*[F.lit(m) for m in modes]) if modes else F.array().cast("array<string>")).alias("mode"), F.col("id").cast("int").alias("seed"))
+
+
+def run_all(grid: DataFrame, run, results: DataFrame | None = None, dry: bool = False) -> DataFrame:
+    """(mode, seed, success, seconds) of the runs of a grid that have no result yet; with ``dry`` only (mode, seed) of what would run.
+
+    ``run(mode, seed) -> bool`` is called in the executors, one call per row; one that raises has failed.
+    ``results`` has the (mode, seed) of runs that are there already.
+    """
+    todo = grid if results is None else grid.join(results.select("mode", "seed").distinct(), ["mode", "seed"], "left_anti")
+    todo = todo.select("mode", "seed")
+    if dry:
+        return todo
+
+    def each(batches):
+        for pdf in batches:
+            rows = []
+            for mode, seed in zip(pdf["mode"], pdf["seed"], strict=True):
+                began = time.perf_counter()
+                try:
+                    good = bool(run(mode, int(seed)))
+                except Exception:
+                    good = False
+                rows.append((mode, int(seed), good, time.perf_counter() - began))
+            yield pd.DataFrame(rows, columns=["mode", "seed", "success", "seconds"])
+
+    return todo.repartition(todo.sparkSession.sparkContext.defaultParallelism, "mode", "seed").mapInPandas(each, "mode string, seed int, success boolean, seconds double")
+
+
+def time_audit(runs: DataFrame, times: list[str], success: str = "success") -> DataFrame:
+    """One row: runs, succeeded, the mean of every time over the runs that succeeded (0 if none did), and task hours of the last one over all runs."""
+    good = F.coalesce(F.col(success), F.lit(False))
+    means = [F.coalesce(F.avg(F.when(good, F.col(t))), F.lit(0.0)).alias(f"avg_{t}") for t in times]
+    return runs.agg(F.count(F.lit(1)).alias("runs"), F.count_if(good).alias("succeeded"), *means, (F.coalesce(F.sum(times[-1]), F.lit(0.0)) / 3600).alias("task_hours"))

@@ -59,7 +59,17 @@ def register_sql(spark: SparkSession) -> list[str]:
     return ["nfc_normalize", "polylabel"]
 
 
-def rise(score, image: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Masks averaged by the score of the masked image: sum(score x mask) / max(sum(mask), 1e-12). ``score`` is injected."""
+def soft_masks(number: int, width: int, height: int, grid: int = 12, keep: float = 0.5, seed: int = 42) -> np.ndarray:
+    """number x height x width masks in 0..1: Bernoulli grids (a cell is kept with probability ``keep``), resized by bilinear weights."""
+    from slatework.operators.heatmaps import axis_weights
+
+    cells = (np.random.default_rng(seed).random((number, grid, grid)) < keep).astype(float)
+    return np.clip(axis_weights(grid, height) @ (cells @ axis_weights(grid, width).T), 0.0, 1.0)
+
+
+def rise(score, image: np.ndarray, masks: np.ndarray | None = None, number: int = 512, grid: int = 12, keep: float = 0.5, seed: int = 42) -> np.ndarray:
+    """Masks averaged by the score of the masked image: sum(score x mask) / max(sum(mask), 1e-12). ``score`` is injected; masks are made where none are given."""
+    if masks is None:
+        masks = soft_masks(number, image.shape[1], image.shape[0], grid, keep, seed)
     s = np.array([score(image * m) for m in masks])
     return np.tensordot(s, masks, 1) / np.maximum(masks.sum(axis=0), 1e-12)

@@ -88,3 +88,9 @@ def with_replacement(rows: DataFrame, key: str, weight: str, n: int, seed: int)
     inner = d.withColumn("_to", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_to", key))).alias("_rows"))
     hit = F.coalesce(F.try_element_at(F.filter("_rows", lambda r: r._to > F.col("_rest")), F.lit(1)), F.element_at("_rows", -1))
     return draws.join(inner, "_b").select("draw", hit[key].alias(key))
+
+
+def pick_one(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """One row of ``df``, the same for the same seed however the rows are partitioned: that of the least seeded hash of its key, then the least key. No row if there is none."""
+    one = df.agg(F.min_by(F.struct("*"), F.struct(F.xxhash64(F.lit(seed), key), key)).alias("_r"))
+    return one.where("_r is not null").select("_r.*")

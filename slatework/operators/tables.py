@@ -61,3 +61,11 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     b = F.lit(1) if lo == hi else F.least(F.floor((F.col(value) - lo) / ((hi - lo) / bins)) + 1, F.lit(bins)).cast("int")
     counts = df.where(F.col(value).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return labels.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def of_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """df, failing when a row is read whose value isn't allowed; null is allowed only if listed as None."""
+    c = F.col(column)
+    known = c.isin(*[a for a in allowed if a is not None]) if any(a is not None for a in allowed) else F.lit(False)
+    good = F.coalesce(known, F.lit(None in allowed))
+    return df.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{column} has the value "), F.coalesce(c.cast("string"), F.lit("null")))).cast("boolean")))

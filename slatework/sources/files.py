@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import csv
 import os
 import re
 import sqlite3
 import struct
+import time
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatework.functions import crs
+from slatework.session import ship, whole_list
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
     """CSV with a header; the schema is inferred only if none is given."""
@@ -26,35 +33,94 @@ def read_csv_any(spark: SparkSession, path: str, schema: str | None = None) -> D
     return read_csv(spark, path, schema, encoding="ISO-8859-1" if latin else "UTF-8")
 
 
+def _described(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(file, name, first, head, value) of every line below the header, in files whose first line is a description and whose second is the header.
+
+    Lines are told apart by their place in their file: a split that starts a file has its first
+    lines, however many splits follow. Blank lines are none.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.options(**options).text(path).select("value", meta["file_path"].alias("file"), meta["file_name"].alias("name"), meta["file_block_start"].alias("block")).withColumn("n", F.monotonically_increasing_id()).where("trim(value) <> ''")
+    below = lines.join(_first_lines(lines), "file").where("block > 0 or n > second")
+    return below.select("file", "name", "first", "head", "value")
+
+
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """(file, first, head, second) of the first two lines of each file; the second is told by its number. Files of fewer lines are left out."""
+    top = lines.where("block = 0").groupBy("file").agg(F.min(F.struct("n", "value")).alias("a"))
+    rest = lines.where("block = 0").join(top.select("file", F.col("a.n").alias("a_n")), "file").where("n > a_n").groupBy("file").agg(F.min(F.struct("n", "value")).alias("b"))
+    return top.join(rest, "file").select("file", F.col("a.value").alias("first"), F.col("b.value").alias("head"), F.col("b.n").alias("second"))
+
+
+def _typed(lines: DataFrame, names: list[str], *also: str) -> DataFrame:
+    """Text columns of comma-separated lines."""
+    parsed = F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)))
+    return lines.select(*also, parsed.alias("_v")).select(*also, *[F.col("_v")[n].alias(n) for n in names])
+
+
+def _names(head: str) -> list[str]:
+    return [n.strip() for n in next(csv.reader([head]))]
+
+
 def read_result_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame | None:
     """A result file whose first line is a description and whose second is the header.
 
     Header names are stripped, cells are text. Missing or empty files give None; a file
-    without a required column raises ValueError.
+    without a required column raises ValueError. The two lines are dropped by their place,
+    so data that reads like them stays. Several files must have one header.
     """
-    lines = spark.read.text(path, wholetext=False).withColumn("file", F.col("_metadata.file_path")).limit(2).collect()  # two lines
-    if len(lines) < 2:
+    try:
+        lines = _described(spark, path)
+    except AnalysisException:
         return None
-    names = [n.strip() for n in lines[1]["value"].split(",")]
+    heads = whole_list(lines.select("head").distinct(), 1)
+    if not heads:
+        heads = whole_list(_first_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).where("trim(value) <> ''")).select("head").distinct(), 1)
+    if not heads:
+        return None
+    names = _names(heads[0]["head"])
     absent = [c for c in required if c not in names]
     if absent:
         raise ValueError(f"{path}: columns {absent} are missing")
-    rows = spark.read.option("header", False).schema(", ".join(f"`{n}` string" for n in names)).csv(path)
-    first = lines[0]["value"].split(",")[0].strip()
-    # The two lines ahead of the data are dropped by their content.
-    head = F.trim(F.col(f"`{names[0]}`"))
-    return rows.where(~(head.eqNullSafe(F.lit(names[0])) | head.eqNullSafe(F.lit(first))))
+    return _typed(lines, names)
+
+
+#: Different headers that the run files of a folder may have.
+MOST_HEADERS = 1000
 
 
 def read_runs(spark: SparkSession, folder: str, required: list[str]) -> DataFrame:
-    """All run results ``{mode}_seed_{seed}.csv`` of a folder in one scan, with mode and seed from the file name."""
-    raw = spark.read.option("header", True).option("comment", "#").option("pathGlobFilter", "*_seed_*.csv").csv(folder)
-    raw = raw.withColumnsRenamed({c: c.strip() for c in raw.columns})
-    absent = [c for c in required if c not in raw.columns]
-    if absent:
-        raise ValueError(f"columns {absent} are missing")
-    name = F.col("_metadata.file_name")
-    return raw.select("*", F.regexp_extract(name, r"^(.*)_seed_(\d+)\.csv$", 1).alias("mode"), F.regexp_extract(name, r"^(.*)_seed_(\d+)\.csv$", 2).cast("int").alias("seed"))
+    """All run results ``{mode}_seed_{seed}.csv`` of a folder in one scan, with mode and seed from the file name.
+
+    The first line of a file is a description, the second its header. Files without a
+    required column, and those of fewer than two lines, are skipped; ``run_report`` tells how many.
+    """
+    lines = _described(spark, folder, pathGlobFilter="*_seed_*.csv")
+    out = None
+    for r in whole_list(lines.select("head").distinct().orderBy("head"), MOST_HEADERS):
+        names = _names(r["head"])
+        if all(c in names for c in required):
+            one = _typed(lines.where(F.col("head").eqNullSafe(r["head"])), names, "name")
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        out = _typed(lines.where("false"), required, "name")
+    part = lambda i: F.regexp_extract("name", r"^(.*)_seed_(\d+)\.csv$", i)
+    return out.select("*", part(1).alias("mode"), part(2).cast("int").alias("seed")).drop("name")
+
+
+def run_report(spark: SparkSession, folder: str, required: list[str], modes: list[str], seeds: range) -> DataFrame:
+    """(mode, loaded, skipped) of the runs asked for: skipped are those whose file is missing, has no rows or lacks a required column."""
+    asked = spark.createDataFrame([(m,) for m in modes], "mode string").withColumn("seed", F.explode(F.sequence(F.lit(seeds.start), F.lit(seeds.stop - 1)))) if len(seeds) else spark.createDataFrame([], "mode string, seed int")
+    there = read_runs(spark, folder, required).select("mode", "seed").distinct().withColumn("there", F.lit(True))
+    return asked.join(there, ["mode", "seed"], "left").groupBy("mode").agg(F.count("there").alias("loaded"), (F.count(F.lit(1)) - F.count("there")).alias("skipped"))
+
+
+def lower_names(df: DataFrame) -> DataFrame:
+    """Column names in lower case without blanks around them; two that become one raise ValueError."""
+    names = [c.strip().lower() for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns of {df.columns} have one name in lower case")
+    return df.toDF(*names)
 
 
 def read_curves(spark: SparkSession, path: str) -> DataFrame:
@@ -100,65 +166,95 @@ def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("pn
     return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.coalesce(F.nullif(part, F.lit("")), F.lit("unknown")).alias("split"), "length")
 
 
-def _gpkg_geometry(blob: bytes) -> str | None:
-    """WKT of a GeoPackage geometry blob holding a point or polygon in well-known binary."""
-    if not blob or blob[:2] != b"GP":
-        return None
-    skip = 8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(blob[3] >> 1) & 7]
-    end = "<" if blob[skip] == 1 else ">"
-    (kind,) = struct.unpack_from(end + "I", blob, skip + 1)
-    at = skip + 5
+def _wkb(blob: bytes, at: int, change) -> tuple[str | None, str, int]:
+    """Kind, text without its kind, and end of the well-known binary at a place; further dimensions are dropped."""
+    end = "<" if blob[at] == 1 else ">"
+    (kind,) = struct.unpack_from(end + "I", blob, at + 1)
+    at, wide = at + 5, 2
+    if kind & 0xE0000000:  # dimensions by high bits, and a reference system
+        wide += bool(kind & 0x80000000) + bool(kind & 0x40000000)
+        at += 4 if kind & 0x20000000 else 0
+        kind &= 0x0FFFFFFF
+    else:
+        wide += {0: 0, 1: 1, 2: 1, 3: 2}.get(kind // 1000, 0)
+        kind %= 1000
+
+    def line(at: int) -> tuple[str, int]:
+        (n,) = struct.unpack_from(end + "I", blob, at)
+        xy = np.frombuffer(blob, dtype=end + "f8", count=n * wide, offset=at + 4).reshape(n, wide)
+        x, y = change(xy[:, 0], xy[:, 1])
+        return "(" + ", ".join(f"{a!r} {b!r}" for a, b in zip(x.tolist(), y.tolist(), strict=True)) + ")", at + 4 + n * wide * 8
+
     if kind == 1:
-        return "POINT ({} {})".format(*struct.unpack_from(end + "2d", blob, at))
-    if kind != 3:
-        return None
-    (rings,) = struct.unpack_from(end + "I", blob, at)
-    at, out = at + 4, []
-    for _ in range(rings):
+        xy = struct.unpack_from(f"{end}{wide}d", blob, at)
+        x, y = change(np.array([xy[0]]), np.array([xy[1]]))
+        return "POINT", f"({float(x[0])!r} {float(y[0])!r})", at + wide * 8
+    if kind == 2:
+        text, at = line(at)
+        return "LINESTRING", text, at
+    if kind == 3:
+        (n,) = struct.unpack_from(end + "I", blob, at)
+        rings, at = [], at + 4
+        for _ in range(n):
+            text, at = line(at)
+            rings.append(text)
+        return "POLYGON", "(" + ", ".join(rings) + ")", at
+    if kind in (4, 5, 6):
         (n,) = struct.unpack_from(end + "I", blob, at)
-        at += 4
-        xy = struct.unpack_from(f"{end}{2 * n}d", blob, at)
-        at += 16 * n
-        out.append("(" + ", ".join(f"{x} {y}" for x, y in zip(xy[::2], xy[1::2], strict=True)) + ")")
-    return "POLYGON (" + ", ".join(out) + ")"
+        parts, at = [], at + 4
+        for _ in range(n):
+            _, text, at = _wkb(blob, at, change)
+            parts.append(text)
+        return {4: "MULTIPOINT", 5: "MULTILINESTRING", 6: "MULTIPOLYGON"}[kind], "(" + ", ".join(parts) + ")", at
+    return None, "", at
+
+
+def _gpkg_geometry(blob: bytes, change) -> str | None:
+    """WKT of a GeoPackage geometry blob: points, lines, polygons and collections of one of them; null for others and empty ones."""
+    if not blob or blob[:2] != b"GP" or blob[3] >> 4 & 1:
+        return None
+    kind, text, _ = _wkb(bytes(blob), 8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(blob[3] >> 1) & 7], change)
+    return f"{kind} {text}" if kind else None
+
 
+def read_geopackage(spark: SparkSession, paths: list[str], table: str, value: str = "height", epsg: int = 4326) -> DataFrame:
+    """wkt and a value column of GeoPackage (SQLite) files, nulls dropped, coordinates in ``epsg``. One task per file; each streams its rows.
 
-def read_geopackage(spark: SparkSession, paths: list[str], table: str, value: str = "height") -> DataFrame:
-    """wkt and a value column of GeoPackage (SQLite) files, nulls dropped. One task per file; each streams its rows."""
+    Layers in EPSG 4326, 3857 or a UTM zone are reprojected where they are not in ``epsg``; a
+    layer whose system is undefined (-1, 0) or not told is taken as it is, any other raises ValueError.
+    """
     for n in (table, value):
         if not re.fullmatch(r"\w+", n):
             raise ValueError(n)
+    ship(spark)
 
     def run(batches):
         for pdf in batches:
             for path in pdf["path"]:
                 con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-                geom = con.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (table,)).fetchone()[0]
+                columns = [r[1] for r in con.execute("PRAGMA table_info(gpkg_geometry_columns)")]
+                told = con.execute(f"SELECT column_name, {'srs_id' if 'srs_id' in columns else 'NULL'} FROM gpkg_geometry_columns WHERE table_name = ?", (table,)).fetchone()
+                geom, srs = told[0], told[1]
+                if srs in (None, -1, 0, epsg):
+                    change = lambda x, y: (x, y)
+                elif crs.known(srs) and crs.known(epsg):
+                    change = lambda x, y, srs=srs: crs.from_degrees(*crs.to_degrees(x, y, srs), epsg)
+                else:
+                    raise ValueError(f"{path}: EPSG:{srs} is not known")
                 cur = con.execute(f'SELECT "{geom}", "{value}" FROM "{table}" WHERE "{value}" IS NOT NULL')
                 while rows := cur.fetchmany(10_000):
-                    yield pd.DataFrame([(_gpkg_geometry(g), float(v)) for g, v in rows], columns=["wkt", value])
+                    yield pd.DataFrame([(_gpkg_geometry(g, change), float(v)) for g, v in rows], columns=["wkt", value])
                 con.close()
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     return files.mapInPandas(run, f"wkt string, `{value}` double")
 
 
-def read_ascii_raster(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
-    """(band, row, col, value) of a text raster (ESRI ASCII grid), and its header: ncols, nrows, corner, cell size, nodata."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    head = {r["value"].split()[0].lower(): float(r["value"].split()[1]) for r in lines.where(r"value rlike '^[A-Za-z]'").limit(10).collect()}  # the header
-    data = lines.where(r"not value rlike '^[A-Za-z]' and trim(value) <> ''")
-    first = data.agg(F.min("n").alias("n")).first()["n"] or 0
-    long = data.select((F.col("n") - first).cast("int").alias("row"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "v"))
-    value = F.col("v").try_cast("double")
-    return long.select(F.lit(1).alias("band"), "row", "col", F.when(value != head.get("nodata_value", float("nan")), value).alias("value")), head
-
-
-def fetch(rows: DataFrame, get, attempts: int = 5, wait=None) -> DataFrame:
+def fetch(rows: DataFrame, get, attempts: int = 5, wait=None, pause: float = 0.0, present: DataFrame | None = None) -> DataFrame:
     """rows (filename, latitude, longitude) with ``content`` and ``reason``: fetched in the executors by ``get(lat, lon) -> bytes``.
 
-    Bad coordinates and exhausted attempts are told by ``reason`` (bad_coordinates, request_failed);
-    between attempts ``wait(n)`` is called. No network is used here: the caller brings ``get``.
+    Names that ``present`` (a listing with ``name``) has are skipped. Bad coordinates and exhausted attempts are told by ``reason`` (bad_coordinates, request_failed);
+    between attempts ``wait(n)`` is called, and a task sleeps ``pause`` seconds after each row. No network is used here: the caller brings ``get``.
     """
 
     def run(batches):
@@ -177,14 +273,28 @@ def fetch(rows: DataFrame, get, attempts: int = 5, wait=None) -> DataFrame:
                         except Exception:
                             if wait:
                                 wait(n)
+                    if pause:
+                        time.sleep(pause)
                 content.append(data)
                 reason.append(why)
             yield pdf.assign(content=content, reason=reason)
 
     d = rows.select("filename", "latitude", "longitude")
+    if present is not None:
+        d = d.join(present.select(F.col("name").alias("filename")).distinct(), "filename", "left_anti")
     return d.mapInPandas(run, "filename string, latitude double, longitude double, content binary, reason string")
 
 
+def append_row(path: str, row: dict[str, object]) -> None:
+    """Add a row to a CSV file; the header is written once, to a file that is missing or empty."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "a", newline="", encoding="utf-8") as f:
+        w = csv.DictWriter(f, fieldnames=list(row))
+        if f.tell() == 0:
+            w.writeheader()
+        w.writerow(row)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 

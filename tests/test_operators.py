@@ -213,3 +213,48 @@ def test_registry(spark):
     assert registry.rise(lambda m: m.sum(), np.array([[2.0, 5.0]]), masks).tolist() == [[2.0, 5.0]]
     registry.register_sql(spark)
     assert spark.sql("select nfc_normalize('é') as x").first()["x"] == "é"
+
+
+def test_soft_masks_and_rise():
+    import numpy as np
+
+    from slatework.operators import registry
+
+    m = registry.soft_masks(300, 40, 30, grid=6, keep=0.4, seed=3)
+    assert m.shape == (300, 30, 40)
+    assert m.min() >= 0
+    assert m.max() <= 1
+    assert abs(m.mean() - 0.4) < 0.02
+    assert len(np.unique(m[0])) > 30  # soft edges
+    assert np.array_equal(m, registry.soft_masks(300, 40, 30, grid=6, keep=0.4, seed=3))
+    image = np.zeros((30, 40))
+    image[5:10, 5:10] = 1.0
+    heat = registry.rise(lambda x: x.sum(), image, number=400, grid=6)
+    assert heat[5:10, 5:10].mean() > heat[20:, 20:].mean()
+
+
+def test_single_pick_allowed_values_and_runs(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from slatework.operators import jobs, sampling
+
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "k long, n string")
+    one = {tuple(sampling.pick_one(df.repartition(p), "k", 5).first()) for p in (1, 3, 7)}
+    assert len(one) == 1
+    assert {sampling.pick_one(df, "k", s).first()["k"] for s in range(6)} != {next(iter(one))[0]}
+    assert sampling.pick_one(df.where("false"), "k", 5).count() == 0
+    assert tables.of_values(df, "n", [f"n{i}" for i in range(50)]).count() == 50
+    with pytest.raises(PySparkException, match="n has the value n7"):
+        tables.of_values(df.where("k = 7"), "n", ["n1"]).collect()
+    assert tables.of_values(spark.createDataFrame([(None,)], "n string"), "n", ["a", None]).count() == 1
+    grid = jobs.run_grid(spark, ["material", "benchmark"], 3, start=5)
+    assert sorted(map(tuple, grid.collect())) == [(m, s) for m in ("benchmark", "material") for s in (5, 6, 7)]
+    with pytest.raises(ValueError, match="unknown modes"):
+        jobs.run_grid(spark, ["x"], 1)
+    there = spark.createDataFrame([("material", 5)], "mode string, seed int")
+    assert jobs.run_all(grid, None, there, dry=True).count() == 5
+    ran = jobs.run_all(grid, lambda mode, seed: 1 // (seed - 6) is not None, there)
+    assert {(r["mode"], r["seed"]): r.success for r in ran.collect()} == {("benchmark", 5): True, ("benchmark", 6): False, ("benchmark", 7): True, ("material", 6): False, ("material", 7): True}
+    a = jobs.time_audit(spark.createDataFrame([(True, 1.0, 3600.0), (False, 9.0, 7200.0), (None, 9.0, None)], "success boolean, build double, total double"), ["build", "total"]).first()
+    assert tuple(a) == (3, 1, 1.0, 3600.0, 3.0)
