@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 from slatework.llm import bpe, pieces
 
 DATA = bpe.vocabulary()
-CODEC = bpe.codec_of(DATA)
+TABLES = bpe.tables_of()
+CODEC = bpe.codec_of(TABLES)
 PLAIN = tiktoken.Encoding("own", pat_str=bpe.WORDS, mergeable_ranks=bpe.read_ranks(DATA), special_tokens={})
 
 
@@ -29,7 +30,7 @@ def test_equals_the_other_library_on_texts_like_ours(spark, sf):
 
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
-    c = bpe.Codec(bpe.read_ranks(DATA))
+    c = bpe.Codec(TABLES)
     rnd = random.Random(1)
     for _ in range(40):
         text = " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(1, 9))) for _ in range(8))
@@ -85,3 +86,67 @@ def test_split_texts(spark):
     assert len([r for r in out if r.doc_id == 4]) == 2 * max(r.pieces for r in out)
     with pytest.raises(ValueError, match="overlap"):
         pieces.split_texts(df, "doc_id", "text", 5, 5)
+
+
+def test_seams_equal_exact_merging():
+    """The vectorised check of pairs against merging their bytes: pairs of all kinds, most of them met in greedy proposals."""
+    import numpy as np
+
+    rnd = random.Random(11)
+    ids = sorted(CODEC.tokens)
+    pairs = [(rnd.choice(ids), rnd.choice(ids)) for _ in range(4000)]
+    for _ in range(4000):  # two parts of a token: near misses
+        t = CODEC.tokens[rnd.choice(ids)]
+        if len(t) > 2:
+            k = rnd.randrange(1, len(t))
+            if t[:k] in CODEC.ranks and t[k:] in CODEC.ranks:
+                pairs.append((CODEC.ranks[t[:k]], CODEC.ranks[t[k:]]))
+            pairs += list(zip(CODEC.proposed(t + t[k:]), CODEC.proposed(t + t[k:])[1:], strict=False))
+    a, b = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
+    got = TABLES.hold(a, b).tolist()
+    assert got == [bpe._merged(CODEC.tokens[x] + CODEC.tokens[y], CODEC.ranks) == [x, y] for x, y in pairs]
+    assert 0.02 < sum(got) / len(got) < 0.98
+
+
+def test_both_merges_are_one():
+    rnd = random.Random(12)
+    for _ in range(2000):
+        word = bytes(rnd.choices(b"abcdeorst \xc3\xa9\xd0\xb0", k=rnd.randint(1, 40)))
+        assert CODEC.merged(word) == bpe._merged(word, CODEC.ranks)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1 \n\t.'re sté屋😀", min_size=1, max_size=60), st.integers(0, 60), st.integers(0, 60))
+def test_tokens_of_a_piece_equal_those_of_its_text(text, i, j):
+    import numpy as np
+
+    start, end = sorted((min(i, len(text)), min(j, len(text))))
+    words = CODEC.split([text]).of(0)
+    edges = np.concatenate([[0], np.cumsum([len(w) for w in words.words])])
+    if start < end:
+        assert pieces.piece_tokens(CODEC, text, words, edges, start, end) == len(PLAIN.encode_ordinary(text[start:end]))
+
+
+def test_limits_that_one_character_exceeds():
+    text = "😀屋" * 6
+    out = pieces.cuts(CODEC, text, 2, 1)
+    assert "".join(text[max(s, e0) : e] for (s, e, *_), e0 in zip(out, [0, *(e for _, e, *_ in out)], strict=False)) == text
+    assert all(n == len(PLAIN.encode_ordinary(text[s:e])) for s, e, n, *_ in out)
+    assert all(kind == "over" and e - s == 1 for s, e, n, _, kind in out if n > 2)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=80))
+def test_splitters_give_the_same_words(text):
+    plain, basic, whole = CODEC.finders
+    assert CODEC.find(text) == whole(text)
+    low = "".join(chr(ord(c) % 128) for c in text)
+    assert plain(low) == whole(low) == basic(low)
+
+
+def test_splitters_on_every_character_of_the_basic_plane():
+    _, basic, whole = CODEC.finders
+    for at in range(0, 0x10000, 4096):
+        chars = "".join(chr(c) for c in range(at, at + 4096) if not 0xD800 <= c < 0xE000)
+        text = "a".join(chars) + " ".join(chars) + chars
+        assert basic(text) == whole(text)
