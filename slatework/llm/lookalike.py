@@ -24,7 +24,9 @@ LOOKALIKES = {
 INVISIBLE = r"[\x{0000}-\x{0008}\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
 BLANKS = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Where compatibility forms of single letters, digits and signs are.
-COMPATIBLE = ((0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0x24B6, 0x24E9), (0x2100, 0x214F), (0x2070, 0x209C))
+COMPATIBLE = ((0xFF01, 0xFF5E), (0xFF61, 0xFF9F), (0x1D400, 0x1D7FF), (0x24B6, 0x24E9), (0x2100, 0x214F), (0x2160, 0x217F), (0x2070, 0x209C), (0x00B2, 0x00B3), (0x00B9, 0x00B9))
+#: Where compatibility forms that are written with several letters are: ligatures, digraphs, Roman numerals, leaders.
+WRITTEN_OUT = ((0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F), (0x2025, 0x2026))
 # What moving, copying, cropping, converting or re-casing leaves in a file name.
 TRACES = r"(?:\.(?:png|jpe?g|tiff?|webp|bmp|gif)|[ _-]*\([0-9]+\)|[ _-]+(?:copy|copie|kopie|copia|crop|cropped)(?:[ _-]?[0-9]{1,2})?|[ ._-])+$"
 
@@ -38,18 +40,28 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def plainly(column: str) -> str:
+    """DuckDB expression of a text with its compatibility forms as plain letters."""
+    a, b = _compatible()
+    spans = "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in (*COMPATIBLE, *WRITTEN_OUT))
+    out = f"translate({column}, {_quoted(a)}, {_quoted(b)})"
+    for x, y in WRITTEN_OUT:
+        for c in map(chr, range(x, y + 1)):
+            if len(n := unicodedata.normalize("NFKC", c)) > 1:
+                out = f"replace({out}, {_quoted(c)}, {_quoted(n)})"
+    return f"CASE WHEN regexp_matches({column}, '[{spans}]') THEN {out} ELSE {column} END"
+
+
 def _query(column: str, kind: str) -> str:
     """DuckDB query of the one form: without invisible characters, compatibility forms as plain ones,
     look-alikes as one letter, NFC, every blank as a space, none at the ends. ``name`` also drops
     case and folders; case goes before look-alikes are mapped, in ``capitals`` after and before.
     ``image`` is a name without the traces of handling."""
-    a, b = _compatible()
-    spans = "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in COMPATIBLE)
     fold = kind != "text"
     letters = f"SELECT * REPLACE ((CASE WHEN regexp_matches({column}, '[^ -~]') THEN nfc_normalize(translate({column}, {_quoted(''.join(LOOKALIKES))}, {_quoted(''.join(LOOKALIKES.values()))})) ELSE {column} END) AS {column}) FROM ({{}})"
     steps = [
         f"SELECT * REPLACE (regexp_replace({column}, '{INVISIBLE}', '', 'g') AS {column}) FROM batch",
-        f"SELECT * REPLACE ((CASE WHEN regexp_matches({column}, '[{spans}]') THEN translate({column}, {_quoted(a)}, {_quoted(b)}) ELSE {column} END) AS {column}) FROM ({{}})",
+        f"SELECT * REPLACE (({plainly(column)}) AS {column}) FROM ({{}})",
         *([letters] if kind == "capitals" else []),
         *([f"SELECT * REPLACE (lower(nfc_normalize({column})) AS {column}) FROM ({{}})"] if fold else []),
         letters,
