@@ -50,12 +50,12 @@ def height_unit(entry: Column) -> Column:
     return out
 
 
-def entry_metres(entry: Column) -> Column:
-    """Metres of a typed height that names its unit; feet may carry inches. Null otherwise."""
+def entry_metres(entry: Column, unit: Column | None = None) -> Column:
+    """Metres of a typed height that names its unit; feet may carry inches. Null otherwise. ``unit`` is that of ``height_unit``, if it is there already."""
     e = F.regexp_replace(F.lower(text.bare(entry)), r"([0-9]),([0-9])", "$1.$2")
     number = F.regexp_extract(e, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     inches = F.regexp_extract(e, r"[0-9]\s*(?:ft|feet|foot|['′’])\.?\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-    unit = height_unit(entry)
+    unit = height_unit(entry) if unit is None else unit
     factor = F.create_map(*[F.lit(x) for kv in METRES_IN.items() for x in kv])
     return F.when(unit.isNotNull(), number * F.try_element_at(factor, unit) + F.coalesce(F.when(unit == "ft", inches * INCH_M), F.lit(0.0)))
 

@@ -204,7 +204,7 @@ def common_units(df: DataFrame, catalogue: DataFrame, penalty: float = PENALTY)
     other columns pass through, but for those with the name of
     a result, which is put in their place. Repeated rows stay repeated.
     """
-    kept = F.struct(*[c for c in df.columns if c not in RESULTS], F.lit(None).cast("int").alias("_none"))
+    kept = F.struct(*[c for c in df.columns if c not in (*RESULTS, *INPUTS)], F.lit(None).cast("int").alias("_none"))
     df = df.select(*[F.col(c) for c in INPUTS], kept.alias("_kept"))
     d = df.withColumns({"_own": entries.height_unit(F.col("height_text")), "_form": entries.stories_form(F.col("stories_text")), "_us": F.unix_micros(F.col("captured_at").cast("timestamp"))})
     h = F.when(F.col("_own").isNull() & ~entries.missing_number(F.col("height")), F.col("height"))
@@ -219,10 +219,14 @@ def common_units(df: DataFrame, catalogue: DataFrame, penalty: float = PENALTY)
 
     factor = F.try_element_at(F.create_map(*[F.lit(x) for kv in entries.METRES_IN.items() for x in kv]), F.col("_hu"))
     v = F.col("height")
-    stated = F.when(F.col("_own").isNotNull(), entries.entry_metres(F.col("height_text"))).otherwise(v * F.coalesce(factor, F.lit(1.0)))
-    tall = F.col("_own").isNull() & (stated > entries.TALLEST_M)
-    unit = F.when(tall & (v * 0.01 <= entries.TALLEST_M), F.lit("cm")).when(tall & (v * 0.001 <= entries.TALLEST_M), F.lit("mm")).otherwise(F.col("_hu"))
-    metres = F.when(tall & (v * 0.01 <= entries.TALLEST_M), v * 0.01).when(tall & (v * 0.001 <= entries.TALLEST_M), v * 0.001).otherwise(stated)
+    # In steps of their own: each is read more than once, and repeated in one expression they would outgrow what is compiled.
+    d = d.withColumn("_stated", F.when(F.col("_own").isNotNull(), entries.entry_metres(F.col("height_text"), F.col("_own"))).otherwise(v * F.coalesce(factor, F.lit(1.0))))
+    tall = F.col("_own").isNull() & (F.col("_stated") > entries.TALLEST_M)
+    d = d.withColumn("_small", F.when(tall & (v * 0.01 <= entries.TALLEST_M), F.lit("cm")).when(tall & (v * 0.001 <= entries.TALLEST_M), F.lit("mm")))
+    d = d.withColumns({"_no_height": no_height, "_no_stories": no_stories})
+    no_height, no_stories = F.col("_no_height"), F.col("_no_stories")
+    unit = F.coalesce("_small", "_hu")
+    metres = F.when(F.col("_small") == "cm", v * 0.01).when(F.col("_small") == "mm", v * 0.001).otherwise(F.col("_stated"))
 
     n = F.col("numstories")
     basis = F.coalesce("_form", F.when(F.col("_basis").isin("tenths", "above"), F.col("_basis")), F.lit("total"))
@@ -232,7 +236,7 @@ def common_units(df: DataFrame, catalogue: DataFrame, penalty: float = PENALTY)
     )
     d = d.withColumn("_b", basis)
     return d.select(
-        "_kept.*",
+        *INPUTS, "_kept.*",
         F.when(~no_height, metres).alias("height_m"), F.when(~no_height, unit).alias("height_unit_used"), (~no_height & (unit != "m")).alias("height_changed"),
         F.when(~no_stories, total).alias("stories_total"), F.when(~no_stories, F.col("_b")).alias("stories_basis_used"), (~no_stories & F.col("_b").isin("above", "tenths", "metres")).alias("stories_changed"),
         no_height.alias("height_missing"), no_stories.alias("stories_missing"),

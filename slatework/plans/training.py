@@ -85,26 +85,24 @@ def p2_filled(spark: SparkSession, d: str) -> DataFrame:
     city, class and time of capture.
     """
     ship(spark)
-    b = table(spark, d, "building_metadata").select(*UNIT_COLUMNS, "filename", "city", "material_class", "fpArea", "roofshape")
-    c = units.common_units(b, table(spark, d, "source_catalog"))
+    b = table(spark, d, "building_metadata")
     shapes = table(spark, d, "roofshape_list")
     names = [(r["roofshape"], [r["roofshape"], *(r["also_called"] or "").split(",")]) for r in whole_list(shapes.select("roofshape", "also_called"), 1000)]  # a list of shapes, bounded here
     known = [x for name, called in names for call in called if call.strip() for x in (F.lit(call.strip().lower()), F.lit(name))]
-    shape = F.try_element_at(F.create_map(*known), _plain_shape(F.col("roofshape"))) if known else F.lit(None).cast("string")
-    c = c.select(
-        "record_id", "captured_at", "filename", F.lower(text.bare(F.col("filename"))).alias("building"),
-        F.when(~text.is_blank(F.col("city")), F.lower(text.bare(F.col("city")))).alias("place"), F.col("material_class").alias("material"),
-        "height_m", "stories_total", F.when(~entries.missing_number(F.col("fpArea")), F.col("fpArea")).alias("area"), shape.alias("shape"), F.col("roofshape").alias("typed_shape"),
-        F.col("height_missing").alias("height_gap"), F.col("stories_missing").alias("numstories_gap"), entries.missing_number(F.col("fpArea")).alias("fpArea_gap"), entries.says_nothing(F.col("roofshape")).alias("roofshape_gap"),
-    )
+    shape = F.try_element_at(F.create_map(*known), _plain_shape(F.col("typed_shape"))) if known else F.lit(None).cast("string")
+    area_gap = entries.missing_number(F.col("fpArea"))
+    # What is read from texts is spread over the steps: one that held all these expressions would outgrow what is compiled.
+    b = b.select(*UNIT_COLUMNS, "filename", "city", F.col("material_class").alias("material"), "fpArea", F.col("roofshape").alias("typed_shape"))
+    c = units.common_units(b, table(spark, d, "source_catalog")).drop("height_text", "stories_text", "source", "height", "numstories").withColumnsRenamed({"height_missing": "height_gap", "stories_missing": "numstories_gap"})
     c = written(c, "impute-read")
+    c = c.withColumns({"building": F.lower(text.bare(F.col("filename"))), "shape": shape, "roofshape_gap": entries.says_nothing(F.col("typed_shape")), "area": F.when(~area_gap, F.col("fpArea")), "fpArea_gap": area_gap}).drop("filename", "fpArea")
     donors = imputation.donated(c.where("length(building) > 0"), "building", list(FILLED.values()), ["captured_at", "record_id"])
     gaps = c.where(" or ".join(f"{f}_gap" for f in FILLED))
     whole = c.where(" and ".join(f"not {f}_gap" for f in FILLED)).select("*", *[F.lit(None).cast(t).alias(f"d_{v}") for v, t in zip(FILLED.values(), ("double", "double", "double", "string"), strict=True)])
     c = gaps.join(donors, "building", "left").select(*whole.columns).unionByName(whole)
     told = {f: F.col(f"{f}_gap") & F.col(f"d_{v}").isNotNull() for f, v in FILLED.items()}
     c = c.select(
-        "record_id", "captured_at", "place", "material", "typed_shape", *[f"{f}_gap" for f in FILLED], *[told[f].alias(f"{f}_told") for f in FILLED],
+        "record_id", "captured_at", F.nullif(F.lower(text.bare(F.col("city"))), F.lit("")).alias("place"), "material", "typed_shape", *[f"{f}_gap" for f in FILLED], *[told[f].alias(f"{f}_told") for f in FILLED],
         *[F.when(told[f], F.col(f"d_{v}")).otherwise(F.col(v)).alias(v) for f, v in FILLED.items()],
     )
     c = written(c, "impute-told")
