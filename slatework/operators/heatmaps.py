@@ -207,11 +207,14 @@ def row_normalised(a: Column, n: int, identity: bool = True) -> Column:
 def matrix_product(a: Column, b: Column, n: int) -> Column:
     """Product of two n x n row-major matrices."""
 
-    def cell(i: Column) -> Column:
-        r, c = F.floor(i / n), i % n
-        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.element_at(a, (r * n + k + 1).cast("int")) * F.element_at(b, (k * n + c + 1).cast("int"))), F.lit(0.0), lambda s, v: s + v)
+    def product(x: Column, y: Column) -> Column:
+        def cell(i: Column) -> Column:
+            r, c = F.floor(i / n), i % n
+            return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.element_at(x, (r * n + k + 1).cast("int")) * F.element_at(y, (k * n + c + 1).cast("int"))), F.lit(0.0), lambda s, v: s + v)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), cell)
+        return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), cell)
+
+    return let(a, lambda x: let(b, lambda y: product(x, y)))
 
 
 def token_gradcam(activations: Column, gradients: Column, channels_: int, tokens: int) -> Column:
