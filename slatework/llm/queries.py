@@ -155,7 +155,7 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
     named = lookalike.one_form(b, "filename", "image", keep=("record_id", "split_now")).withColumn("image", F.nullif("form", F.lit(""))).drop("form")
     rows = written(named.join(city, "record_id", "left"), "splits-cities")
     shares = [(r["split"], r["share"]) for r in whole_list(table(spark, d, "split_targets").where("split is not null and share > 0"), 1000)]  # one row per split
-    new = splits.grouped_splits(rows, "record_id", ["city_id", "image"], shares)
+    new = splits.grouped_splits(rows, "record_id", ["image", "city_id"], shares)
     return rows.drop("image").join(new.withColumnRenamed("id", "record_id"), "record_id")
 
 

@@ -88,13 +88,30 @@ def test_splits_keep_cities_and_images_together(spark, sf, cities):
     assert abs(shares.reached_share - shares.target_share).max() < 0.02
 
 
-def test_split_report_comes_from_the_components(spark, sf, monkeypatch):
-    """Where nothing is connected, cities aren't brought together, and none is reported that spreads over splits."""
+def alone(edges):
+    """A component for each node."""
+    return edges.selectExpr("a as node").union(edges.selectExpr("b")).distinct().selectExpr("node", "node as component")
+
+
+def test_cities_come_from_the_components(spark, monkeypatch):
+    """Where nothing is connected, cities aren't brought together, and those torn apart aren't reported."""
     from slatework.llm import splits
 
-    monkeypatch.setattr(splits, "components", lambda edges: edges.selectExpr("a as node").union(edges.selectExpr("b")).distinct().selectExpr("node", "node as component"))
-    alone = splits.grouped_splits(spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "b", None)], "id long, c string, i string"), "id", ["c", "i"], [("train", 1.0)])
-    assert {r.component for r in alone.collect()} != {"0:b"}
+    sf = "/root/testdata/sf0.01"
+    whole = set(run(spark, sf, "p7_found").city_id)
+    monkeypatch.setattr(splits, "components", alone)
+    assert set(run(spark, sf, "p7_found").city_id) < whole
+
+
+def test_names_come_from_the_join(spark, monkeypatch):
+    """Without the join on rare words no pair is found by name."""
+    from slatework.llm import overlap
+
+    sf = "/root/testdata/sf0.01"
+    whole = {tuple(r) for r in run(spark, sf, "p4_found").values.tolist()}
+    nothing = "text_e string, text_t string, similarity double"
+    monkeypatch.setattr(overlap, "similar_sides", lambda texts, *_, **__: spark.createDataFrame([], nothing))
+    assert {tuple(r) for r in run(spark, sf, "p4_found").values.tolist()} < whole
 
 
 @pytest.fixture(scope="module")
