@@ -155,14 +155,14 @@ def _grouped(spark: SparkSession, d: str) -> DataFrame:
     named = lookalike.one_form(b, "filename", "image", keep=("record_id", "split_now")).withColumn("image", F.nullif("form", F.lit(""))).drop("form")
     rows = written(named.join(city, "record_id", "left"), "splits-cities")
     shares = [(r["split"], r["share"]) for r in whole_list(table(spark, d, "split_targets").where("split is not null and share > 0"), 1000)]  # one row per split
-    new = splits.grouped_splits(rows, "record_id", ["image", "city_id"], shares)
-    return rows.drop("image").join(new.withColumnRenamed("id", "record_id"), "record_id")
+    return splits.grouped_splits(rows, "record_id", ["image", "city_id"], shares, keep=("city_id", "split_now")).withColumnRenamed("id", "record_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Cities that the new splits bring together: their records stand in several splits now, and in one component and one new split."""
-    g = _grouped(spark, d).where("city_id is not null").groupBy("city_id").agg(*[F.countDistinct(c).alias(c) for c in ("split_now", "component", "split")])
-    return g.where("split_now > 1 and component = 1 and split = 1").select("city_id")
+    one = lambda c: F.min(c) == F.max(c)
+    g = _grouped(spark, d).where("city_id is not null").groupBy("city_id").agg((~one("split_now")).alias("several"), (one("component") & one("split")).alias("together"))
+    return g.where("several and together").select("city_id")
 
 
 def p7_splits(spark: SparkSession, d: str) -> DataFrame:

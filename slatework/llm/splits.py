@@ -122,8 +122,8 @@ def assign(sizes: dict[int, int], shares: list[tuple[str, float]]) -> dict[str,
     return out
 
 
-def grouped_splits(rows: DataFrame, id_col: str, keys: list[str], shares: list[tuple[str, float]]) -> DataFrame:
-    """(id, component, split) such that rows that share any of the keys are in one split.
+def grouped_splits(rows: DataFrame, id_col: str, keys: list[str], shares: list[tuple[str, float]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, component, split, keep...) such that rows that share any of the keys are in one split.
 
     Null keys connect nothing, nor does a key that one row alone holds; a row without any other is a component of its own.
     Components are found over key values, not rows, so a value held by a third of
@@ -131,13 +131,13 @@ def grouped_splits(rows: DataFrame, id_col: str, keys: list[str], shares: list[t
     records at most sqrt(2n) numbers. Ids should be unique. A component's name is
     the number of its key and the value.
     """
-    d = rows.select(F.col(id_col).alias("id"), *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)])
+    d = rows.select(F.col(id_col).alias("id"), *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)], F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("_kept"))
     for i in range(len(keys)):  # keys of one row are dropped before any link is made
         shared = d.where(F.col(f"k{i}").isNotNull()).groupBy(f"k{i}").count().where("count > 1").select(F.concat(F.lit("k"), f"k{i}").alias("_shared"), F.lit(True).alias(f"s{i}"))
         # Rows without the key go by their ids, so that they don't meet in one task.
         d = d.join(small(shared), F.coalesce(F.concat(F.lit("k"), f"k{i}"), F.concat(F.lit("n"), F.col("id").cast("string"))) == F.col("_shared"), "left").drop("_shared")
     tagged = [F.when(F.col(f"s{i}"), F.concat(F.lit(f"{i}:"), F.col(f"k{i}"))) for i in range(len(keys))]
-    d = d.select("id", F.array_compact(F.array(*tagged)).alias("k")).withColumn("first", F.coalesce(F.try_element_at("k", F.lit(1)), F.concat(F.lit("id:"), F.col("id").cast("string"))))
+    d = d.select("id", "_kept", F.array_compact(F.array(*tagged)).alias("k")).withColumn("first", F.coalesce(F.try_element_at("k", F.lit(1)), F.concat(F.lit("id:"), F.col("id").cast("string"))))
     d = written(d, "split-rows")
     # A row links its first key to its other keys; links are distinct before they are counted or joined.
     links = d.select("first", F.explode(F.when(F.size("k") > 0, F.col("k")).otherwise(F.array("first"))).alias("b")).distinct().select(F.col("first").alias("a"), "b")
@@ -161,7 +161,7 @@ def grouped_splits(rows: DataFrame, id_col: str, keys: list[str], shares: list[t
     numbered = _numbered(per, max(64, sum(sizes.values()) // 20_000))
     placed = numbered.join(small(table), "size").where("no >= low and no < high").select("component", "split")
     node = comp.join(placed, "component").select(F.col("node").alias("first"), "component", "split")
-    return d.select("id", "first").join(small(node), "first").select("id", "component", "split")
+    return d.select("id", "first", "_kept").join(small(node), "first").select("id", "component", "split", *[F.col("_kept")[c].alias(c) for c in keep])
 
 
 def _numbered(per: DataFrame, buckets: int) -> DataFrame:
