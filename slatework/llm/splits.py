@@ -135,7 +135,7 @@ def grouped_splits(rows: DataFrame, id_col: str, keys: list[str], shares: list[t
     for i in range(len(keys)):  # keys of one row are dropped before any link is made
         shared = d.where(F.col(f"k{i}").isNotNull()).groupBy(f"k{i}").count().where("count > 1").select(F.concat(F.lit("k"), f"k{i}").alias("_shared"), F.lit(True).alias(f"s{i}"))
         # Rows without the key go by their ids, so that they don't meet in one task.
-        d = d.join(small(shared), F.coalesce(F.concat(F.lit("k"), f"k{i}"), F.concat(F.lit("n"), F.col("id").cast("string"))) == F.col("_shared"), "left").drop("_shared")
+        d = d.join(small(written(shared, "split-shared")), F.coalesce(F.concat(F.lit("k"), f"k{i}"), F.concat(F.lit("n"), F.col("id").cast("string"))) == F.col("_shared"), "left").drop("_shared")
     tagged = [F.when(F.col(f"s{i}"), F.concat(F.lit(f"{i}:"), F.col(f"k{i}"))) for i in range(len(keys))]
     d = d.select("id", "_kept", F.array_compact(F.array(*tagged)).alias("k")).withColumn("first", F.coalesce(F.try_element_at("k", F.lit(1)), F.concat(F.lit("id:"), F.col("id").cast("string"))))
     d = written(d, "split-rows")
