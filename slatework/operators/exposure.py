@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slatework.functions.vocab import FLEXIBLE_CODES, MASONRY_CODES, MODES, NO_WALL
 from slatework.operators import sampling
+from slatework.session import small, written
 
 
 def stamped(taxonomy: Column, token: Column) -> Column:
@@ -70,10 +71,13 @@ def tiered_match(wanted: DataFrame, library: DataFrame) -> DataFrame:
     library: name, mat, llrs, duct, height. Tiers: 1 all equal; 2 same but for the nearest height (only
     if the height is known); 3 same material and llrs, any ductility, exact height first; 4 same material; 5 same base
     material (before the first dash) and llrs, exact height first; 6 same base material, any llrs. Ties go to the
-    first name. Unmatched rows keep null. The join is by base material, so a row meets only its own curves.
+    first name. Unmatched rows keep null. The join is by base material, so a row meets only its own curves;
+    both sides are collapsed to distinct properties before it.
     """
     base = lambda c: F.split_part(F.col(c), F.lit("-"), F.lit(1))
-    lib = library.select(F.col("name"), *[F.col(c).alias(f"l_{c}") for c in ("mat", "llrs", "duct", "height")]).withColumn("_base", base("l_mat"))
+    # Of curves with the same properties only the first by name can be taken; what is left is broadcast if it is small.
+    lib = library.groupBy(*[F.col(c).alias(f"l_{c}") for c in ("mat", "llrs", "duct", "height")]).agg(F.min("name").alias("name")).withColumn("_base", base("l_mat"))
+    lib = small(written(lib, "curves"))
     # Distinct requests only: buildings with the same taxonomy are matched once.
     asked = wanted.select("mat", "llrs", "duct", "height").distinct().withColumn("_base", base("mat"))
     c = asked.join(lib, "_base")
