@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slatework.functions.expr import let
-from slatework.session import dropped, scratch, written
+from slatework.session import dropped, scratch, ship, written
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -98,21 +102,130 @@ def stable_pairs(candidates: DataFrame, most_rounds: int = 10_000) -> DataFrame:
 
     In a round every free point picks its nearest boundary, every picked polygon takes its
     nearest centre among them, and both leave. Ties go to the least id. Each round makes
-    at least one pair. Its pairs are added to one folder that is read once, and its
-    candidates replace those of the round before, so neither plans nor files grow.
+    at least one pair.
     """
-    left, path = written(candidates, "assign"), scratch(candidates.sparkSession, "assigned")
+    c = written(candidates, "assign")
+    return _settled(c, *[written(c.select(k, F.col(k).alias("id")).where("id is not null").distinct(), "assign-ids") for k in ("pid", "bid")], most_rounds)
+
+
+def stable_places(points: DataFrame, polygons: DataFrame, candidates: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 10_000) -> DataFrame:
+    """``stable_pairs`` of points (pid, x, y) and polygons (bid, x, y) whose candidates depend on x and y alone.
+
+    candidates makes pid, bid, boundary, centre of both. It is given one row a place, named by the
+    least id there, so points that stand together times polygons that lie on each other are never
+    listed. A place takes part in a round with its least free id. Of its ids it needs no more
+    than there are candidates for it, since each takes one. Ids may repeat at their place; null coordinates never pair.
+    """
+    at = {k: written(df.where("x is not null and y is not null").groupBy("x", "y").agg(F.min(k).alias(k), F.count(F.lit(1)).alias("n")), "places") for k, df in (("pid", points), ("bid", polygons))}
+    pairs = written(candidates(at["pid"].drop("n"), at["bid"].drop("n")), "assign")
+    ids = []
+    for k, other, df in (("pid", "bid", points), ("bid", "pid", polygons)):
+        most = pairs.join(at[other].select(other, "n"), other).groupBy(k).agg(F.sum("n").alias("most"))
+        named = at[k].join(most, k).select("x", "y", F.col(k).alias("_k"), "most")
+        r = df.join(named, ["x", "y"]).select(F.col("_k").alias(k), F.col(k).alias("id"), "most", F.dense_rank().over(Window.partitionBy("_k").orderBy(k)).alias("_r"))
+        ids.append(written(r.where("_r <= most").select(k, "id"), "assign-ids"))
+    dropped(*at.values())
+    return _settled(pairs, *ids, most_rounds)
+
+
+#: Candidates, and as many ids, whose rounds one task runs in memory.
+SETTLED_ROWS = 2_000_000
+
+
+def _settled(pairs: DataFrame, points: DataFrame, polygons: DataFrame, most_rounds: int) -> DataFrame:
+    """pid, bid of the rounds over pairs (pid, bid, boundary, centre) of places with their points (pid, id) and polygons (bid, id), all written.
+
+    Rounds go over all tasks while more than SETTLED_ROWS pairs are left; one task runs
+    what rounds remain, with all ids or, where these are more, with the least of each place
+    as long as they last. The pairs of all are in one folder that is read once, and what is
+    left replaces the files of the round before, so neither plans nor files grow.
+    """
+    spark, path = pairs.sparkSession, scratch(pairs.sparkSession, "assigned")
+    schema = T.StructType([T.StructField("pid", points.schema["id"].dataType), T.StructField("bid", polygons.schema["id"].dataType)])
     for n in range(most_rounds):
-        picks = left.groupBy("pid").agg(F.min(F.struct("boundary", "bid", "centre")).alias("s")).select("pid", "s.bid", "s.centre")
-        picks.groupBy("bid").agg(F.min(F.struct("centre", "pid")).alias("s")).select("s.pid", "bid").write.parquet(f"{path}/{n}")
-        won = candidates.sparkSession.read.schema(left.select("pid", "bid").schema).parquet(f"{path}/{n}")
-        if won.isEmpty():
+        before, most, last = (pairs, points, polygons), None, False
+        if pairs.count() <= SETTLED_ROWS:
+            last = points.count() + polygons.count() <= SETTLED_ROWS
+            if not last:
+                most = max(1, SETTLED_ROWS // (points.select("pid").distinct().count() + polygons.select("bid").distinct().count()))
+            won = _at_once(*before, schema, most)
+        else:
+            picks = pairs.join(polygons.groupBy("bid").agg(F.min("id").alias("polygon")), "bid").groupBy("pid").agg(F.min(F.struct("boundary", "polygon", "centre")).alias("s")).select("pid", "s.polygon", "s.centre")
+            picks = picks.join(points.groupBy("pid").agg(F.min("id").alias("point")), "pid").groupBy("polygon").agg(F.min(F.struct("centre", "point")).alias("s"))
+            won = picks.select(F.col("s.point").alias("pid"), F.col("polygon").alias("bid"))
+        won.write.parquet(f"{path}/{n}")
+        won = spark.read.schema(schema).parquet(f"{path}/{n}")
+        if last or won.isEmpty():
+            dropped(*before)
             break
-        before, left = left, written(left.join(won.select("pid"), "pid", "left_anti").join(won.select("bid"), "bid", "left_anti"), "assign")
-        dropped(before)
+        points, polygons = [written(df.join(won.select(F.col(k).alias("id")), "id", "left_anti").join(pairs.select(k), k, "left_semi"), "assign-ids") for k, df in (("pid", points), ("bid", polygons))]
+        pairs = written(pairs.join(points.select("pid"), "pid", "left_semi").join(polygons.select("bid"), "bid", "left_semi"), "assign")
+        dropped(*before)
     else:
         raise RuntimeError("rounds are used up")
-    return candidates.sparkSession.read.schema(left.select("pid", "bid").schema).option("recursiveFileLookup", True).parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def _at_once(pairs: DataFrame, points: DataFrame, polygons: DataFrame, schema: T.StructType, most: int | None) -> DataFrame:
+    """What ``rounds`` makes of all rows, or of the least ``most`` ids of each place, in one task."""
+    ship(pairs.sparkSession)
+    if most:
+        points, polygons = [df.withColumn("_r", F.dense_rank().over(Window.partitionBy(k).orderBy("id"))).where(F.col("_r") <= most).drop("_r") for k, df in (("pid", points), ("bid", polygons))]
+    first = lambda k: F.coalesce(F.col(k), F.lit(float("-inf"))).alias(k)  # noqa: E731  # nulls go first, as in Spark's order
+    rows = pairs.where("pid is not null and bid is not null").select("pid", "bid", first("boundary"), first("centre"))
+    rows = rows.unionByName(points.withColumnRenamed("id", "point"), True).unionByName(polygons.withColumnRenamed("id", "polygon"), True)
+
+    def run(batches):
+        t = [b for b in batches if b.num_rows]
+        if t:
+            t = pa.Table.from_batches(t)
+            of = lambda where, *names: [t.filter(pc.is_valid(t[where]))[c].to_numpy() for c in names]
+            point, polygon = rounds(*of("boundary", "pid", "bid", "boundary", "centre"), *of("point", "pid", "point"), *of("polygon", "bid", "polygon"), most)
+            yield pa.RecordBatch.from_arrays([pa.array(point, t["point"].type), pa.array(polygon, t["polygon"].type)], ["pid", "bid"])
+
+    return rows.repartition(1).mapInArrow(run, schema)
+
+
+def rounds(p, b, boundary, centre, point_at, point, polygon_at, polygon, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The point and polygon ids that the rounds of ``stable_pairs`` make of pairs of places (p, b, boundary, centre) and their points and polygons.
+
+    A round compares the ranks of each place's least free id; pairs of a place without any leave.
+    A place of ``most`` ids may have more: the rounds end where such a place has used all it has here.
+    """
+
+    def laid(at, ids):
+        """Places, the ids by place and rank, where each place's begin and end."""
+        named, rank = np.unique(ids, return_inverse=True)
+        places, k = np.unique(at, return_inverse=True)
+        ranks = np.unique(k.astype(np.int64) * max(len(named), 1) + rank)
+        bounds = np.searchsorted(ranks, np.arange(len(places) + 1) * max(len(named), 1))
+        return places, named, ranks % max(len(named), 1), bounds[:-1].copy(), bounds[1:]
+
+    places, points, p_rank, p_next, p_end = laid(point_at, point)
+    grounds, polygons, b_rank, b_next, b_end = laid(polygon_at, polygon)
+    known = np.isin(p, places) & np.isin(b, grounds)
+    p, b, near, mid = np.searchsorted(places, p[known]), np.searchsorted(grounds, b[known]), np.unique(boundary[known], return_inverse=True)[1], np.unique(centre[known], return_inverse=True)[1]
+    order = np.lexsort((mid, near, b, p))
+    p, b, near, mid = p[order], b[order], near[order], mid[order]
+    once = np.ones(len(p), bool)
+    once[1:] = (p[1:] != p[:-1]) | (b[1:] != b[:-1])
+    p, b, near, mid = p[once], b[once], near[once], mid[once]
+    made = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    ends = [(at, end, end - at >= most) for at, end in ((p_next, p_end), (b_next, b_end))] if most else []
+    while len(p) and not any((full & (at == end)).any() for at, end, full in ends):
+        key = near * len(polygons) + b_rank[b_next[b]]
+        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        least = np.minimum.reduceat(key, starts)
+        pick = np.flatnonzero(key == np.repeat(least, np.diff(np.r_[starts, len(p)])))
+        pick = pick[np.lexsort((p_rank[p_next[p[pick]]], mid[pick], b[pick]))]
+        pick = pick[np.r_[True, b[pick[1:]] != b[pick[:-1]]]]
+        made.append((p_rank[p_next[p[pick]]], b_rank[b_next[b[pick]]]))
+        p_next[p[pick]] += 1
+        b_next[b[pick]] += 1
+        left = (p_next[p] < p_end[p]) & (b_next[b] < b_end[b])
+        if not left.all():
+            p, b, near, mid = p[left], b[left], near[left], mid[left]
+    return points[np.concatenate([m[0] for m in made])], polygons[np.concatenate([m[1] for m in made])]
 
 
 def ring_area(e: Column) -> Column:

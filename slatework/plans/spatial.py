@@ -15,8 +15,7 @@ HALF = 15.0
 BOXES_SQL = f"boxes AS (SELECT sid AS bid, x AS cx, y AS cy, x - {HALF} AS x0, y - {HALF} AS y0, x + {HALF} AS x1, y + {HALF} AS y1 FROM sites)"
 
 
-def _squares(spark: SparkSession, d: str) -> DataFrame:
-    s = sites(spark, d)
+def _squares(s: DataFrame) -> DataFrame:
     return s.select(F.col("sid").alias("bid"), (F.col("x") - HALF).alias("x0"), (F.col("y") - HALF).alias("y0"), (F.col("x") + HALF).alias("x1"), (F.col("y") + HALF).alias("y1"))
 
 
@@ -66,27 +65,28 @@ def knn_radius_enrich(spark: SparkSession, d: str) -> DataFrame:
 CAND_SQL = f"{POINTS_SQL}, {SITES_SQL}, {BOXES_SQL}, c AS (SELECT pid, bid, sqrt(greatest(x0 - x, 0, x - x1) ** 2 + greatest(y0 - y, 0, y - y1) ** 2) AS boundary, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS centre FROM points CROSS JOIN boxes)"
 
 
-def _candidates(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+def _candidates(p: DataFrame, s: DataFrame) -> DataFrame:
     """Points within 40 of a square: near its centre by at most 40 plus half the diagonal, then exactly."""
-    near = spatial.near(p.select("pid", "x", "y"), sites(spark, d), 40.0 + HALF * 2**0.5)
-    c = near.join(_squares(spark, d).withColumnRenamed("bid", "sid"), "sid").withColumn("boundary", spatial.box_distance(F.col("x"), F.col("y")))
+    near = spatial.near(p.select("pid", "x", "y"), s, 40.0 + HALF * 2**0.5)
+    c = near.join(_squares(s).withColumnRenamed("bid", "sid"), "sid").withColumn("boundary", spatial.box_distance(F.col("x"), F.col("y")))
     return c.where("boundary <= 40").select("pid", F.col("sid").alias("bid"), "boundary", F.sqrt("d2").alias("centre"))
 
 
 @query(f"WITH {CAND_SQL} SELECT pid, bid, round(boundary, 6) AS boundary, round(centre, 6) AS centre FROM c WHERE boundary <= 40")
 def distance_join(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d, points(spark, d)).select("pid", "bid", r6("boundary").alias("boundary"), r6("centre").alias("centre"))
+    return _candidates(points(spark, d), sites(spark, d)).select("pid", "bid", r6("boundary").alias("boundary"), r6("centre").alias("centre"))
 
 
 @query(f"WITH {POINTS_SQL}, {SITES_SQL}, {BOXES_SQL} SELECT pid, bid FROM points p LEFT JOIN boxes b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
 def point_in_box_left(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.box_join(points(spark, d), _squares(spark, d), 50.0).select("pid", "bid")
+    return spatial.box_join(points(spark, d), _squares(sites(spark, d)), 50.0).select("pid", "bid")
 
 
 @query()
 def stable_assignment(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one assignment of all customers' points to squares; iterative, tested against brute force."""
-    return spatial.stable_pairs(_candidates(spark, d, points(spark, d)))
+    boxes = sites(spark, d).withColumnRenamed("sid", "bid")
+    return spatial.stable_places(points(spark, d).select("pid", "x", "y"), boxes, lambda p, b: _candidates(p, b.withColumnRenamed("bid", "sid")))
 
 
 MATCH_SQL = f"""{PARTS_SQL}, q AS (SELECT p_partkey, p_type, split_part(mat_llrs, '/', 2) AS ld, h, p_partkey % 40 = 0 AND p_type <> 'SMALL' AS inlib FROM parts),

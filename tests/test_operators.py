@@ -149,6 +149,42 @@ def test_assignment_is_one_to_one_and_as_documented(spark):
     assert spatial.stable_pairs(spark.createDataFrame([], "pid long, bid long, boundary double, centre double")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [2_000_000, 45, 0])  # at once, by the least ids of each place, round by round
+def test_assignment_of_places_equals_that_of_their_points(spark, monkeypatch, rows):
+    monkeypatch.setattr(spatial, "SETTLED_ROWS", rows)
+    rnd = random.Random(3)
+    n = 30 if rows else 9
+    ids = rnd.sample(range(1000), 2 * n)
+    pts = [(i, float(rnd.randint(0, 3)), float(rnd.randint(0, 1))) for i in ids[:n]]
+    polys = [(i, float(rnd.randint(0, 3)), float(rnd.randint(0, 1))) for i in ids[n:]]
+    gap = lambda p, b: (abs(p[1] - b[1]), abs(p[2] - b[2]))
+    want = greedy([(p[0], b[0], gap(p, b)[0], gap(p, b)[1]) for p in pts for b in polys if gap(p, b)[0] <= 1])
+
+    def near(p, b):
+        b = b.withColumnsRenamed({"x": "bx", "y": "by"})
+        dx, dy = F.abs(F.col("x") - F.col("bx")), F.abs(F.col("y") - F.col("by"))
+        return p.crossJoin(b).where(dx <= 1).select("pid", "bid", dx.alias("boundary"), dy.alias("centre"))
+
+    points = spark.createDataFrame([*pts, *pts[:5], (2000, None, 1.0)], "pid long, x double, y double")
+    polygons = spark.createDataFrame([*polys, *polys[:5], (2001, 1.0, None)], "bid long, x double, y double")
+    rows = spatial.stable_places(points, polygons, near).collect()
+    assert {r.pid: r.bid for r in rows} == want
+    assert len(rows) == len(want)
+    assert spatial.stable_places(points.limit(0), polygons, near).count() == 0
+
+
+def test_assignment_round_by_round_equals_that_at_once(spark, monkeypatch):
+    rnd = random.Random(4)
+    cands = [(p, b, float(rnd.randint(0, 2)), float(rnd.randint(0, 2))) for p in range(6) for b in range(5) if rnd.random() < 0.6]
+    df = spark.createDataFrame([*cands, *cands[:3]], "pid long, bid long, boundary double, centre double")
+    want = greedy(cands)
+    assert {r.pid: r.bid for r in spatial.stable_pairs(df).collect()} == want
+    monkeypatch.setattr(spatial, "SETTLED_ROWS", 0)
+    assert {r.pid: r.bid for r in spatial.stable_pairs(df).collect()} == want
+    named = df.selectExpr("concat('p', pid) as pid", "concat('b', bid) as bid", "boundary", "centre")
+    assert {r.pid: r.bid for r in spatial.stable_pairs(named).collect()} == {f"p{p}": f"b{b}" for p, b in want.items()}
+
+
 def test_nearest_equals_brute_force(spark):
     rnd = random.Random(9)
     pts = [(i, rnd.uniform(-500, 500), rnd.uniform(-500, 500)) for i in range(80)] + [(99, 9000.0, 9000.0), (100, None, 1.0)]

@@ -28,3 +28,16 @@ def test_stable_assignment_has_all_customers(spark, sf):
     got = {r.pid: r.bid for r in QUERIES["stable_assignment"](spark, sf).collect()}
     assert got == want
     assert any(k % 5 for k in got)
+
+
+def test_stable_assignment_of_one_place_needs_no_job_for_every_pair(spark, tmp_path):
+    pd.DataFrame({"c_custkey": [1100 * i for i in range(1, 301)], "c_nationkey": 1}).to_parquet(tmp_path / "customer.parquet")  # all at (0, 0)
+    pd.DataFrame({"s_suppkey": [1000 * i for i in range(1, 41)]}).to_parquet(tmp_path / "supplier.parquet")  # all at (13, 0)
+    spark.sparkContext.setJobGroup("one-place", "")
+    try:
+        got = {r.pid: r.bid for r in QUERIES["stable_assignment"](spark, str(tmp_path)).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-place"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {1100 * i: 1000 * i for i in range(1, 41)}
+    assert jobs <= 40  # a round makes one pair, and had two jobs and more
